@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from granary.llm import bpe
+from granary.llm import bpe, toxicity
 
-QUERIES = {"op1_bpe": bpe.op1_bpe}
+QUERIES = {"op1_bpe": bpe.op1_bpe, "op3_toxicity": toxicity.op3_toxicity}
 ORACLE_SQL: dict[str, str] = {}
