@@ -2,7 +2,31 @@
 
 from __future__ import annotations
 
-from granary.llm import bpe, toxicity
+from granary.llm import bpe, decontaminate, toxicity, urls
 
-QUERIES = {"op1_bpe": bpe.op1_bpe, "op3_toxicity": toxicity.op3_toxicity}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES = {
+    "op1_bpe": bpe.op1_bpe,
+    "op3_toxicity": toxicity.op3_toxicity,
+    "op7_urls": urls.op7_urls,
+    "op8_decontaminate": decontaminate.op8_decontaminate,
+}
+
+#: Pages of these tables name no canonical address and no refresh, so a verdict is the longest rule's, or else allow.
+_OP7 = """
+with p as (
+  select page_id, case when position('://' in url) > 0 then substr(url, position('://' in url) + 3) else '' end as rest from pages
+), h as (
+  select page_id, translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host,
+         regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) as path
+  from p
+), rules(verdict, rhost, rpath) as (
+  values ('block', 'com', '/en/'), ('allow', 'example.com', '/en/7'), ('allow', 'net', '/de/'), ('block', 'example.net', '/de/8'), ('block', 'org', '/es/')
+), fits as (
+  select h.page_id, h.host, h.path, r.rhost || r.rpath as rule, r.verdict,
+         row_number() over (partition by h.page_id order by length(r.rhost || r.rpath) desc nulls last) as n
+  from h left join rules r on (h.host = r.rhost or ends_with(h.host, '.' || r.rhost)) and starts_with(h.path, r.rpath)
+)
+select page_id, host, path, rule, coalesce(verdict, 'allow') as verdict from fits where n = 1
+"""
+
+ORACLE_SQL: dict[str, str] = {"op7_urls": _OP7}
