@@ -29,6 +29,8 @@ from granary.llm.labelled import labelled_sample, remainder
 PER_CLASS = 1_500
 BUCKETS, DIM, EPOCHS, RATE = 1 << 17, 16, 8, 0.5
 GRAMS = (3, 4, 5)
+#: Marks for each word that repeats its predecessor, and their hash.
+AGAIN, AGAIN_MARK = 6, np.uint64(0xA5A5A5)
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -53,7 +55,10 @@ def hashes(text: str) -> np.ndarray:
     place = at - np.maximum.accumulate(np.where(space, at, 0))
     with np.errstate(over="ignore"):
         powers = _mixed((place.astype(np.uint64) + np.uint64(7)) * _MIX)
-        out = [_mixed(np.add.reduceat((b * powers)[:-1], starts)) ^ np.uint64(1)]
+        words = _mixed(np.add.reduceat((b * powers)[:-1], starts))
+        # A word that repeats the one before it shows in marks of its own, as averages can't tell order.
+        again = int((words[1:] == words[:-1]).sum())
+        out = [words ^ np.uint64(1), np.full(AGAIN * again, AGAIN_MARK, np.uint64)]
         inner = np.cumsum(space)
         h = b
         for n in range(2, max(GRAMS) + 1):

@@ -14,6 +14,10 @@ def test_hashes_are_of_words_and_their_grams():
     assert sorted(both) == sorted([*one, *one, *hashes("xyz")])
 
 
+def test_repeats_are_marked():
+    assert len(hashes("abcd abcd")) == 2 * 10 + 6
+
+
 def test_folding_is_exact():
     rng = np.random.default_rng(0)
     m = Model(rng.normal(size=(BUCKETS, DIM)).astype("f4"), rng.normal(size=(2, DIM)).astype("f4"), np.array([0.1, 0.3], "f4"))
