@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from granary.llm import bpe, decontaminate, quality, toxicity, urls
+from granary.llm import bpe, decontaminate, neardup, quality, toxicity, urls
 
 QUERIES = {
     "op1_bpe": bpe.op1_bpe,
     "op2_quality": quality.op2_quality,
     "op3_toxicity": toxicity.op3_toxicity,
+    "op6_neardup": neardup.op6_neardup,
     "op7_urls": urls.op7_urls,
     "op8_decontaminate": decontaminate.op8_decontaminate,
 }
