@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from granary.llm import bpe, decontaminate, neardup, quality, toxicity, urls
+from granary.llm import bpe, decontaminate, embeddings, neardup, quality, toxicity, urls
 
 QUERIES = {
     "op1_bpe": bpe.op1_bpe,
@@ -11,6 +11,7 @@ QUERIES = {
     "op6_neardup": neardup.op6_neardup,
     "op7_urls": urls.op7_urls,
     "op8_decontaminate": decontaminate.op8_decontaminate,
+    "op9_embeddings": embeddings.op9_embeddings,
 }
 
 #: Pages of these tables name no canonical address and no refresh, so a verdict is the longest rule's, or else allow.
