@@ -29,3 +29,20 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = SLICE_BYT
 
 
 import pyarrow.compute  # noqa: E402,F401
+
+
+def appended(docs, column: str, name: str, kind: str, arrow_kind: pa.DataType, values):
+    """docs with one column more: values(list of the texts of column) for each slice of rows.
+
+    `name` must not be a column of docs. All other columns pass through as they are.
+    """
+    from pyspark.sql import types as T
+
+    schema = T.StructType([*docs.schema.fields, *T.StructType.fromDDL(f"`{name}` {kind}").fields])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, column):
+            got = pa.array(values(b.column(column).to_pylist()), arrow_kind)
+            yield pa.RecordBatch.from_arrays([*b.columns, got], [*b.schema.names, name])
+
+    return docs.mapInArrow(run, schema)

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from granary.llm.arrow import slices
+from granary.llm.arrow import appended, slices
 
 #: Edits allowed for each character of an item.
 RATE = 0.07
@@ -158,6 +158,19 @@ def matches(docs: DataFrame, items: DataFrame, rate: float = RATE, id_col: str =
     return rows.mapInArrow(run, f"id {kind}, items array<long>, distances array<int>").withColumnRenamed("id", id_col)
 
 
+def without_items(docs: DataFrame, items: DataFrame, rate: float = RATE, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", block_chars: int = BLOCK_CHARS) -> DataFrame:
+    """The rows of docs, with all their columns, that hold no item."""
+    shared = [docs.sparkSession.sparkContext.broadcast(b) for b in _blocks(items, item_col, item_text, block_chars)]
+    matchers: dict[int, Matcher] = {}
+
+    def held(texts: list[str | None]) -> list[bool]:
+        for i in range(len(shared)):
+            matchers.setdefault(i, Matcher(shared[i].value, rate))
+        return [any(m.find(t) for m in matchers.values()) for t in texts]
+
+    return appended(docs, text_col, "_holds_item", "boolean", pa.bool_(), held).where("not _holds_item").drop("_holds_item")
+
+
 def op8_decontaminate(spark, sf_dir: str) -> DataFrame:
     """One row per document: doc_id, n_items, items and the least distance; contaminated where n_items > 0."""
     out = matches(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))

@@ -235,14 +235,17 @@ def fit(docs: DataFrame, labels: DataFrame, usable, per_class: int = PER_CLASS)
     return Lexicon(terms, stems), fit_logistic(x, y)
 
 
+def scores(texts: list[str | None], lex: Lexicon, weights: np.ndarray) -> np.ndarray:
+    x = np.array([lex.features(t or "") for t in texts]).reshape(len(texts), N_FEATURES)
+    return 1 / (1 + np.exp(-np.clip(x @ weights[:-1] + weights[-1], -30, 30)))
+
+
 def score(docs: DataFrame, lex: Lexicon, weights: np.ndarray, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, score) of every row of docs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "text"):
-            x = np.array([lex.features(t or "") for t in b.column("text").to_pylist()]).reshape(b.num_rows, N_FEATURES)
-            p = 1 / (1 + np.exp(-np.clip(x @ weights[:-1] + weights[-1], -30, 30)))
-            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(p, pa.float64())], ["id", "score"])
+            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(scores(b.column("text").to_pylist(), lex, weights), pa.float64())], ["id", "score"])
 
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, score double").withColumnRenamed("id", id_col)
