@@ -8,10 +8,10 @@ documents share a coordinate with the probability of their weighted Jaccard
 similarity. Bands of coordinates are joined; candidates are verified exactly.
 
 Copies with the same words are folded first, so a group of any size is one
-representative. Within a band's bucket all members are compared with one
-leader, drawn anew for each bucket and round, and components merge; only where
-a bucket still holds several components are pairs across them compared, all of
-them, in the last round. So no link between buckets' members is lost, while a
+representative. Within a band's bucket of more than a few members they are
+compared with a leader of the bucket's largest component, drawn anew for each
+bucket and round, and components merge; where a bucket still holds several
+components, the pairs across them are compared, all of them, in the last round. So no link between buckets' members is lost, while a
 large group costs a few comparisons for each member.
 
 Defined results: words are runs of letters, digits and underscores in lower
@@ -41,7 +41,9 @@ WORDS, SIMILARITY = 5, 0.8
 #: 25 bands of 5 coordinates: a pair of similarity 0.8 escapes all bands once in 20,000.
 BANDS, ROWS = 25, 5
 #: Rounds of leaders before the pairs that are left are compared one by one, and how many pairs a bucket's row may stand for at once.
-ROUNDS, PAIRS_A_ROW = 6, 2.0
+ROUNDS, PAIRS_A_ROW = 4, 0.6
+#: Buckets of up to so many rows are compared pair by pair at once.
+SMALL = 4
 WORD = re.compile(r"\w+")
 _SEED = np.uint64(0x2545F4914F6CDD1D)
 
@@ -198,29 +200,37 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, id_col: str
     now = stage(members.join(label, "rep").select("bucket", "rep", "label"), "open")
     for turn in range(rounds + 1):
         # Pairs across components that a bucket still has, were all compared at once.
-        by_label = now.groupBy("bucket", "label").agg(F.count("*").alias("n"))
-        mixed_buckets = by_label.groupBy("bucket").agg(F.sum("n").cast("double").alias("n"), F.sum(F.col("n").cast("double") * F.col("n")).alias("s"), F.count("*").alias("labels")).where("labels > 1")
+        by_label = stage(now.groupBy("bucket", "label").agg(F.count("*").alias("n")), "by-label")
+        mixed_buckets = by_label.groupBy("bucket").agg(
+            F.sum("n").cast("double").alias("n"), F.sum(F.col("n").cast("double") * F.col("n")).alias("s"), F.count("*").alias("labels"),
+            F.max_by("label", F.struct("n", F.xxhash64("label", "bucket", F.lit(turn)))).alias("main"),
+        ).where("labels > 1")
         mixed_buckets = stage(mixed_buckets, "mixed")
         total = mixed_buckets.agg(F.sum("n"), F.sum(F.expr("(n * n - s) / 2"))).first()
         if not total[0]:
             break
         last = total[1] <= PAIRS_A_ROW * total[0] or turn == rounds
-        open_rows = stage(now.join(mixed_buckets.select("bucket"), "bucket"), "open")
-        if last:
-            a = open_rows.select("bucket", F.col("rep").alias("a"), F.col("label").alias("la"))
-            b = open_rows.select("bucket", F.col("rep").alias("b"), F.col("label").alias("lb"))
-            pairs = a.join(b, "bucket").where("la < lb").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        else:
+        open_rows = stage(now.join(mixed_buckets.select("bucket", "main", (F.col("n") > SMALL).alias("large")), "bucket"), "open")
+        across = open_rows if last else open_rows.where("not large")
+        a = across.select("bucket", F.col("rep").alias("a"), F.col("label").alias("la"))
+        b = across.select("bucket", F.col("rep").alias("b"), F.col("label").alias("lb"))
+        pairs = a.join(b, "bucket").where("la < lb").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+        if not last:
+            # The leader is of the bucket's largest component, so only those outside of it are compared, each with two leaders a round.
             draw = F.xxhash64("rep", "bucket", F.lit(turn))
-            lead = stage(open_rows.groupBy("bucket").agg(F.min_by(F.struct("rep", "label"), draw).alias("lead")).select("bucket", F.col("lead.rep").alias("lead"), F.col("lead.label").alias("ll")), "lead")
-            pairs = open_rows.join(lead, "bucket").where("label <> ll").select(F.least("rep", "lead").alias("a"), F.greatest("rep", "lead").alias("b"))
+            lead = stage(open_rows.where("large and label = main").groupBy("bucket").agg(F.min_by("rep", draw).alias("lead")), "lead")
+            asked = open_rows.where("large and label <> main").join(lead, "bucket").select("rep", "lead")
+            order = F.xxhash64("rep", "lead", F.lit(turn))
+            two = asked.groupBy("rep").agg(F.min_by("lead", order).alias("x"), F.max_by("lead", order).alias("y"))
+            led = two.select("rep", F.explode(F.array_distinct(F.array("x", "y"))).alias("lead"))
+            pairs = pairs.union(led.select(F.least("rep", "lead").alias("a"), F.greatest("rep", "lead").alias("b")))
         found = _verified(stage(pairs.distinct(), "pairs"), sets, similarity)
         links = found if links is None else links.union(found)
         if last:
             break
         parts = stage(connected_components(links), "parts")
         label = wanted.join(parts, wanted["id"] == parts["node"], "left").select(F.col("id").alias("rep"), F.coalesce("component", "id").alias("label"))
-        now = stage(open_rows.drop("label").join(stage(label, "labels"), "rep").select("bucket", "rep", "label"), "open")
+        now = stage(open_rows.select("bucket", "rep").join(stage(label, "labels"), "rep").select("bucket", "rep", "label"), "open")
     if links is None:
         named = reps.select("key", F.col("rep").alias("class_id"))
     else:
