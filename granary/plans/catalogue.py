@@ -164,15 +164,15 @@ def holdout_mae(spark, sf):
     return e.agg(F.count("*").alias("n"), F.round(F.avg("error"), 6).alias("mae"), F.round(F.max("error"), 6).alias("worst"))
 
 
-@query(f"""with {_DAILY} select user_id, round(avg(v) filter (day < date '2024-01-11'), 4) as early, round(avg(v) filter (day between date '2024-01-11' and date '2024-01-20'), 4) as middle,
-  round(max(v), 4) as peak, arg_max(day, struct_pack(v := v, d := -epoch(day))) as peak_day, cast(5 * count(*) filter (v > 0.5) as integer) as days_above, round(min(v) filter (day > date '2024-01-20'), 4) as late_min from daily group by user_id""")
+@query(f"""with {_DAILY} select user_id, round(avg(v) filter (day < date '2024-01-11'), 9) as early, round(avg(v) filter (day between date '2024-01-11' and date '2024-01-20'), 9) as middle,
+  round(max(v), 9) as peak, arg_max(day, struct_pack(v := v, d := -epoch(day))) as peak_day, cast(5 * count(*) filter (v > 0.5) as integer) as days_above, round(min(v) filter (day > date '2024-01-20'), 9) as late_min from daily group by user_id""")
 def season_features(spark, sf):
     d = daily(spark, sf)
     at = lambda c: F.when(c, F.col("v"))
     day = F.col("day")
     return d.groupBy("user_id").agg(
-        F.round(F.avg(at(day < "2024-01-11")), 4).alias("early"), F.round(F.avg(at(day.between("2024-01-11", "2024-01-20"))), 4).alias("middle"), F.round(F.max("v"), 4).alias("peak"),
-        F.max_by("day", F.struct("v", -F.unix_date("day"))).alias("peak_day"), (5 * F.count_if(F.col("v") > 0.5)).cast("int").alias("days_above"), F.round(F.min(at(day > "2024-01-20")), 4).alias("late_min"),
+        F.round(F.avg(at(day < "2024-01-11")), 9).alias("early"), F.round(F.avg(at(day.between("2024-01-11", "2024-01-20"))), 9).alias("middle"), F.round(F.max("v"), 9).alias("peak"),
+        F.max_by("day", F.struct("v", -F.unix_date("day"))).alias("peak_day"), (5 * F.count_if(F.col("v") > 0.5)).cast("int").alias("days_above"), F.round(F.min(at(day > "2024-01-20")), 9).alias("late_min"),
     )
 
 
@@ -252,10 +252,10 @@ def point_in_polygon(spark, sf):
     return J.pixels_in_polygons(px, fields, "x", "y").select("r", "c", "name")
 
 
-@query(f"with {_CELLS} select round(count(*) filter (v > 26000 and (r + c) % 3 > 0) / count(*) filter (v > 26000 or (r + c) % 3 > 0), 9) as iou from cells")
+@query(f"with {_CELLS} select round(count(*) filter (v > 53000 and (r + c) % 3 > 0) / count(*) filter (v > 53000 or (r + c) % 3 > 0), 9) as iou from cells")
 def raster_iou(spark, sf):
     g = cells(spark, sf)
-    return R.overlap(g.where("v > 26000"), g.where("(r + c) % 3 > 0")).select(F.round("iou", 9).alias("iou"))
+    return R.overlap(g.where("v > 53000"), g.where("(r + c) % 3 > 0")).select(F.round("iou", 9).alias("iou"))
 
 
 @query("""with n as (select l_partkey, l_linenumber, count(*) as k from lineitem group by 1, 2), m as (select *, row_number() over (partition by l_partkey order by k desc, l_linenumber) as i, sum(k) over (partition by l_partkey) as n from n)
@@ -293,21 +293,21 @@ def focal_median(spark, sf):
     return R.focal_median(g, "v", 40, 40).withColumn("median", F.round("median", 4))
 
 
-@query(f"with {_CELLS}, {_NEAR} select distinct a.r + dr as r, a.c + dc as c from cells a cross join o where v > 32000 and a.r + dr between 0 and 39 and a.c + dc between 0 and 39".replace("a.r + dr as r, a.c + dc as c", "cast(a.r + dr as integer) as r, cast(a.c + dc as integer) as c"))
+@query(f"with {_CELLS}, {_NEAR} select distinct a.r + dr as r, a.c + dc as c from cells a cross join o where v > 62000 and a.r + dr between 0 and 39 and a.c + dc between 0 and 39".replace("a.r + dr as r, a.c + dc as c", "cast(a.r + dr as integer) as r, cast(a.c + dc as integer) as c"))
 def dilate(spark, sf):
-    return R.dilate(cells(spark, sf).where("v > 32000"), 1, 40, 40)
+    return R.dilate(cells(spark, sf).where("v > 62000"), 1, 40, 40)
 
 
-@query(f"""with {_CELLS}, {_NEAR}, m as (select r, c from cells where v > 24500), e as (select a.r, a.c from m a cross join o join m b on b.r = a.r + dr and b.c = a.c + dc group by 1, 2 having count(*) = 9)
+@query(f"""with {_CELLS}, {_NEAR}, m as (select r, c from cells where v > 49000), e as (select a.r, a.c from m a cross join o join m b on b.r = a.r + dr and b.c = a.c + dc group by 1, 2 having count(*) = 9)
   select distinct cast(e.r + dr as integer) as r, cast(e.c + dc as integer) as c from e cross join o where e.r + dr between 0 and 39 and e.c + dc between 0 and 39""")
 def opening(spark, sf):
-    return R.opening(cells(spark, sf).where("v > 24500"), 40, 40)
+    return R.opening(cells(spark, sf).where("v > 49000"), 40, 40)
 
 
-@query(f"""with {_CELLS}, {_NEAR}, k as (select r, c, cast(v > 25000 as integer) + cast(v > 27000 as integer) as code from cells), n as (select a.r, a.c, a.code, b.code as x, count(*) as k from k a cross join o join k b on b.r = a.r + dr and b.c = a.c + dc group by 1, 2, 3, 4),
+@query(f"""with {_CELLS}, {_NEAR}, k as (select r, c, cast(v > 52000 as integer) + cast(v > 56000 as integer) as code from cells), n as (select a.r, a.c, a.code, b.code as x, count(*) as k from k a cross join o join k b on b.r = a.r + dr and b.c = a.c + dc group by 1, 2, 3, 4),
   t as (select *, row_number() over (partition by r, c order by k desc, x) as i from n) select round(avg(cast(code <> x as integer)), 6) as share from t where i = 1""")
 def speckle(spark, sf):
-    g = cells(spark, sf).withColumn("code", (F.col("v") > 25000).cast("int") + (F.col("v") > 27000).cast("int"))
+    g = cells(spark, sf).withColumn("code", (F.col("v") > 52000).cast("int") + (F.col("v") > 56000).cast("int"))
     return R.speckle(g, "code").select(F.round("share", 6).alias("share"))
 
 
