@@ -10,9 +10,13 @@ similarity. Bands of coordinates are joined; candidates are verified exactly.
 Copies with the same words are folded first, so a group of any size is one
 representative. Within a band's bucket of more than a few members they are
 compared with a leader of the bucket's largest component, drawn anew for each
-bucket and round, and components merge; where a bucket still holds several
-components, the pairs across them are compared, all of them, in the last round. So no link between buckets' members is lost, while a
-large group costs a few comparisons for each member.
+bucket and round, and components merge. Where buckets still hold several components, the last round
+compares the pairs across them: all pairs if these are few, else those that
+their rarest shingles leave. Two sets as alike as asked overlap so much that,
+with the shingles of each in order from rare to common, the first one they share
+stands early in both; pairs without such a shingle can't be links and are never
+made. So no link between buckets' members is lost, while a large group costs a
+few comparisons for each member, alike or not.
 
 Defined results: words are runs of letters, digits and underscores in lower
 case; a text of fewer than five words is one shingle; texts without words are
@@ -40,7 +44,7 @@ from granary.plans.staging import stage, unstage
 WORDS, SIMILARITY = 5, 0.8
 #: 25 bands of 5 coordinates: a pair of similarity 0.8 escapes all bands once in 20,000.
 BANDS, ROWS = 25, 5
-#: Rounds of leaders before the pairs that are left are compared one by one, and how many pairs a bucket's row may stand for at once.
+#: Rounds of leaders before the pairs that are left are compared, and how many pairs a bucket's row may stand for if all are compared one by one.
 ROUNDS, PAIRS_A_ROW = 4, 0.6
 #: Buckets of up to so many rows are compared pair by pair at once.
 SMALL = 4
@@ -182,6 +186,29 @@ def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame
     return stage(both.where(sim >= similarity).select(F.col("a").alias("src"), F.col("b").alias("dst")), "links")
 
 
+def _rare_pairs(open_rows: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """(a, b): the pairs of open_rows' sets, of different components, whose similarity may reach `similarity` as their rarest items tell.
+
+    Items that one set alone has come first in its order and match nothing, so only
+    their number is needed. No pair that is alike enough is missing, whether it shares a bucket or not.
+    """
+    members = open_rows.select(F.col("rep").alias("id"), "label").distinct()
+    own = stage(sets.join(members, "id").select("id", "label", "items"), "open-sets")
+    flat = own.select("id", F.explode("items").alias("item"))
+    common = stage(flat.groupBy("item").agg(F.count("*").alias("df")).where("df > 1"), "common")
+    ranked = flat.join(common, "item").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("df", "item"))).alias("ranked"))
+    # A set of n overlaps with its partner in similarity * n items at least, so the first of them is not after place n - similarity * n.
+    early = F.size("ranked") - F.ceil(F.col("n") * similarity - 1e-6).cast("int") + 1
+    placed = own.select("id", "label", F.size("items").alias("n")).join(ranked, "id").where(early > 0)
+    placed = placed.select("id", "label", "n", (F.col("n") - F.size("ranked")).alias("before"), F.posexplode(F.slice("ranked", 1, early)).alias("k", "of"))
+    tokens = stage(placed.select("id", "label", "n", (F.col("n") - F.col("before") - F.col("k")).alias("rest"), F.col("of.item").alias("item")), "rare")
+    x = tokens.select("item", F.col("id").alias("a"), F.col("label").alias("la"), F.col("n").alias("na"), F.col("rest").alias("ra"))
+    y = tokens.select("item", F.col("id").alias("b"), F.col("label").alias("lb"), F.col("n").alias("nb"), F.col("rest").alias("rb"))
+    least = F.ceil((F.col("na") + F.col("nb")) * (similarity / (1 + similarity)) - 1e-6)
+    fits = (F.col("la") < F.col("lb")) & (F.least("ra", "rb") >= least) & (F.least("na", "nb") >= similarity * F.greatest("na", "nb"))
+    return x.join(y, "item").where(fits).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+
+
 def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text", rounds: int = ROUNDS) -> DataFrame:
     """(id, class_id, kept) of every row of docs: class_id is the least id of those linked to it, kept tells whether it is its own."""
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
@@ -209,12 +236,16 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, id_col: str
         total = mixed_buckets.agg(F.sum("n"), F.sum(F.expr("(n * n - s) / 2"))).first()
         if not total[0]:
             break
-        last = total[1] <= PAIRS_A_ROW * total[0] or turn == rounds
+        few = total[1] <= PAIRS_A_ROW * total[0]
+        last = few or turn == rounds
         open_rows = stage(now.join(mixed_buckets.select("bucket", "main", (F.col("n") > SMALL).alias("large")), "bucket"), "open")
         across = open_rows if last else open_rows.where("not large")
-        a = across.select("bucket", F.col("rep").alias("a"), F.col("label").alias("la"))
-        b = across.select("bucket", F.col("rep").alias("b"), F.col("label").alias("lb"))
-        pairs = a.join(b, "bucket").where("la < lb").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+        if last and not few:
+            pairs = _rare_pairs(open_rows, sets, similarity)
+        else:
+            a = across.select("bucket", F.col("rep").alias("a"), F.col("label").alias("la"))
+            b = across.select("bucket", F.col("rep").alias("b"), F.col("label").alias("lb"))
+            pairs = a.join(b, "bucket").where("la < lb").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
         if not last:
             # The leader is of the bucket's largest component, so only those outside of it are compared, each with two leaders a round.
             draw = F.xxhash64("rep", "bucket", F.lit(turn))

@@ -3,6 +3,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pytest
 
 from granary.llm.neardup import dart_signatures, near_duplicates
 
@@ -69,6 +70,28 @@ def test_classes_match_brute_force(spark):
     assert all(not r.kept and r.class_id is None for r in got if r.doc_id is None)
 
 
+def hot_group():
+    """Texts that share most of their words and are mostly less alike than asked: in one bucket, with few links."""
+    rnd = random.Random(5)
+    word = lambda: "".join(rnd.choice("abcdefgh") for _ in range(5))
+    base, docs = [word() for _ in range(100)], []
+    for i in range(90):
+        edits = rnd.randrange(1, 7)
+        w = list(base)
+        for _ in range(edits):
+            w[rnd.randrange(len(w))] = word()
+        docs.append((i, " ".join(w)))
+    line = " ".join(base[:8])
+    return docs + [(100 + i, " ".join([line] * 40 + [word() for _ in range(rnd.randrange(20, 60))])) for i in range(60)]
+
+
+@pytest.mark.parametrize("rounds", [0, 1])
+def test_rare_shingles_lose_no_link(spark, rounds):
+    docs = hot_group() if rounds else [*hot_group(), *((1000 + i, t) for i, t in corpus())]
+    got = near_duplicates(spark.createDataFrame(docs, "doc_id long, text string"), rounds=rounds).collect()
+    assert {r.doc_id: r.class_id for r in got} == classes(docs)
+
+
 def test_signatures_estimate_weighted_similarity():
     rng = np.random.default_rng(0)
     items = rng.integers(1, 2**63, 60, dtype=np.uint64)
