@@ -15,7 +15,7 @@ compares the pairs across them: all pairs if these are few, else those that
 their rarest shingles leave. Two sets as alike as asked overlap so much that,
 with the shingles of each in order from rare to common, the first one they share
 stands early in both; pairs without such a shingle can't be links and are never
-made. So no link between buckets' members is lost, while a large group costs a
+made; where many share one, a leader stands for its component once more. So no link between buckets' members is lost, while a large group costs a
 few comparisons for each member, alike or not.
 
 Defined results: words are runs of letters, digits and underscores in lower
@@ -45,7 +45,9 @@ WORDS, SIMILARITY = 5, 0.8
 #: 25 bands of 5 coordinates: a pair of similarity 0.8 escapes all bands once in 20,000.
 BANDS, ROWS = 25, 5
 #: Rounds of leaders before the pairs that are left are compared, and how many pairs a bucket's row may stand for if all are compared one by one.
-ROUNDS, PAIRS_A_ROW = 4, 0.6
+ROUNDS, PAIRS_A_ROW = 2, 0.6
+#: Rounds in which the members of a rare item are compared with its leader only.
+RARE_ROUNDS = 1
 #: Buckets of up to so many rows are compared pair by pair at once.
 SMALL = 4
 WORD = re.compile(r"\w+")
@@ -186,26 +188,38 @@ def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame
     return stage(both.where(sim >= similarity).select(F.col("a").alias("src"), F.col("b").alias("dst")), "links")
 
 
-def _rare_pairs(open_rows: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """(a, b): the pairs of open_rows' sets, of different components, whose similarity may reach `similarity` as their rarest items tell.
+def _rare_items(open_rows: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Staged (rep, item, n, rest): the items by which a set of open_rows may meet one that is alike enough.
 
-    Items that one set alone has come first in its order and match nothing, so only
-    their number is needed. No pair that is alike enough is missing, whether it shares a bucket or not.
+    n is the size of the set, rest how many of its items don't precede this one in the order from rare to
+    common. Items that one set alone has come first and match nothing, so only their number is needed.
     """
-    members = open_rows.select(F.col("rep").alias("id"), "label").distinct()
-    own = stage(sets.join(members, "id").select("id", "label", "items"), "open-sets")
+    own = stage(sets.join(open_rows.select(F.col("rep").alias("id")).distinct(), "id"), "open-sets")
     flat = own.select("id", F.explode("items").alias("item"))
     common = stage(flat.groupBy("item").agg(F.count("*").alias("df")).where("df > 1"), "common")
     ranked = flat.join(common, "item").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("df", "item"))).alias("ranked"))
     # A set of n overlaps with its partner in similarity * n items at least, so the first of them is not after place n - similarity * n.
     early = F.size("ranked") - F.ceil(F.col("n") * similarity - 1e-6).cast("int") + 1
-    placed = own.select("id", "label", F.size("items").alias("n")).join(ranked, "id").where(early > 0)
-    placed = placed.select("id", "label", "n", (F.col("n") - F.size("ranked")).alias("before"), F.posexplode(F.slice("ranked", 1, early)).alias("k", "of"))
-    tokens = stage(placed.select("id", "label", "n", (F.col("n") - F.col("before") - F.col("k")).alias("rest"), F.col("of.item").alias("item")), "rare")
-    x = tokens.select("item", F.col("id").alias("a"), F.col("label").alias("la"), F.col("n").alias("na"), F.col("rest").alias("ra"))
-    y = tokens.select("item", F.col("id").alias("b"), F.col("label").alias("lb"), F.col("n").alias("nb"), F.col("rest").alias("rb"))
+    placed = own.select("id", F.size("items").alias("n")).join(ranked, "id").where(early > 0)
+    placed = placed.select(F.col("id").alias("rep"), "n", F.size("ranked").alias("left"), F.posexplode(F.slice("ranked", 1, early)).alias("k", "of"))
+    out = stage(placed.select("rep", F.col("of.item").alias("item"), "n", (F.col("left") - F.col("k")).alias("rest")), "rare")
+    unstage(own, common)
+    return out
+
+
+def _rare_pairs(rare: DataFrame, label: DataFrame, similarity: float, last: bool) -> DataFrame:
+    """(a, b) of different components that share an item so early in both that they may be alike enough; if not last, only those with each item's leader."""
+    rows = stage(rare.join(label, "rep"), "rare-labels")
+    x = rows
+    if not last:
+        main = rows.groupBy("item", "label").agg(F.count("*").alias("k"), F.max_by(F.struct("rep", "n", "rest"), F.struct("rest", "rep")).alias("lead"))
+        main = main.groupBy("item").agg(F.max_by(F.struct("label", "lead"), F.struct("k", "label")).alias("m"), F.count("*").alias("labels")).where("labels > 1")
+        x = main.select("item", "m.label", "m.lead.*")
+    x = x.select("item", F.col("rep").alias("a"), F.col("label").alias("la"), F.col("n").alias("na"), F.col("rest").alias("ra"))
+    y = rows.select("item", F.col("rep").alias("b"), F.col("label").alias("lb"), F.col("n").alias("nb"), F.col("rest").alias("rb"))
     least = F.ceil((F.col("na") + F.col("nb")) * (similarity / (1 + similarity)) - 1e-6)
-    fits = (F.col("la") < F.col("lb")) & (F.least("ra", "rb") >= least) & (F.least("na", "nb") >= similarity * F.greatest("na", "nb"))
+    apart = F.col("la") < F.col("lb") if last else F.col("la") != F.col("lb")
+    fits = apart & (F.least("ra", "rb") >= least) & (F.least("na", "nb") >= similarity * F.greatest("na", "nb"))
     return x.join(y, "item").where(fits).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
 
 
@@ -222,46 +236,55 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, id_col: str
     texts = rows.join(wanted.hint("shuffle_hash"), "id", "left_semi").select("id", "text")
     sets = stage(texts.mapInArrow(_sets, f"id {kind}, items array<long>"), "sets")
 
-    links = None
+    links, rare = None, None
     label = stage(wanted.select(F.col("id").alias("rep"), F.col("id").alias("label")), "labels")
     now = stage(members.join(label, "rep").select("bucket", "rep", "label"), "open")
-    for turn in range(rounds + 1):
-        # Pairs across components that a bucket still has, were all compared at once.
-        by_label = stage(now.groupBy("bucket", "label").agg(F.count("*").alias("n")), "by-label")
-        mixed_buckets = by_label.groupBy("bucket").agg(
-            F.sum("n").cast("double").alias("n"), F.sum(F.col("n").cast("double") * F.col("n")).alias("s"), F.count("*").alias("labels"),
-            F.max_by("label", F.struct("n", F.xxhash64("label", "bucket", F.lit(turn)))).alias("main"),
-        ).where("labels > 1")
-        mixed_buckets = stage(mixed_buckets, "mixed")
-        total = mixed_buckets.agg(F.sum("n"), F.sum(F.expr("(n * n - s) / 2"))).first()
-        if not total[0]:
-            break
-        few = total[1] <= PAIRS_A_ROW * total[0]
-        last = few or turn == rounds
-        open_rows = stage(now.join(mixed_buckets.select("bucket", "main", (F.col("n") > SMALL).alias("large")), "bucket"), "open")
-        across = open_rows if last else open_rows.where("not large")
-        if last and not few:
-            pairs = _rare_pairs(open_rows, sets, similarity)
+    for turn in range(rounds + RARE_ROUNDS + 1):
+        last = turn == rounds + RARE_ROUNDS
+        if turn <= rounds:
+            # Pairs across components that a bucket still has, were all compared at once.
+            by_label = stage(now.groupBy("bucket", "label").agg(F.count("*").alias("n")), "by-label")
+            mixed_buckets = by_label.groupBy("bucket").agg(
+                F.sum("n").cast("double").alias("n"), F.sum(F.col("n").cast("double") * F.col("n")).alias("s"), F.count("*").alias("labels"),
+                F.max_by("label", F.struct("n", F.xxhash64("label", "bucket", F.lit(turn)))).alias("main"),
+            ).where("labels > 1")
+            mixed_buckets = stage(mixed_buckets, "mixed")
+            total = mixed_buckets.agg(F.sum("n"), F.sum(F.expr("(n * n - s) / 2"))).first()
+            if not total[0]:
+                break
+            last = total[1] <= PAIRS_A_ROW * total[0]
+            open_rows = stage(now.join(mixed_buckets.select("bucket", "main", (F.col("n") > SMALL).alias("large")), "bucket"), "open")
+            unstage(now, by_label, mixed_buckets)
+        if turn >= rounds and not (turn == rounds and last):
+            if rare is None:
+                rare = _rare_items(open_rows, sets, similarity)
+            pairs = _rare_pairs(rare, label, similarity, last)
         else:
+            across = open_rows if last else open_rows.where("not large")
             a = across.select("bucket", F.col("rep").alias("a"), F.col("label").alias("la"))
             b = across.select("bucket", F.col("rep").alias("b"), F.col("label").alias("lb"))
             pairs = a.join(b, "bucket").where("la < lb").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        if not last:
-            # The leader is of the bucket's largest component, so only those outside of it are compared, each with two leaders a round.
-            draw = F.xxhash64("rep", "bucket", F.lit(turn))
-            lead = stage(open_rows.where("large and label = main").groupBy("bucket").agg(F.min_by("rep", draw).alias("lead")), "lead")
-            asked = open_rows.where("large and label <> main").join(lead, "bucket").select("rep", "lead")
-            order = F.xxhash64("rep", "lead", F.lit(turn))
-            two = asked.groupBy("rep").agg(F.min_by("lead", order).alias("x"), F.max_by("lead", order).alias("y"))
-            led = two.select("rep", F.explode(F.array_distinct(F.array("x", "y"))).alias("lead"))
-            pairs = pairs.union(led.select(F.least("rep", "lead").alias("a"), F.greatest("rep", "lead").alias("b")))
-        found = _verified(stage(pairs.distinct(), "pairs"), sets, similarity)
+            if not last:
+                # The leader is of the bucket's largest component, so only those outside of it are compared, each with two leaders a round.
+                draw = F.xxhash64("rep", "bucket", F.lit(turn))
+                lead = stage(open_rows.where("large and label = main").groupBy("bucket").agg(F.min_by("rep", draw).alias("lead")), "lead")
+                asked = open_rows.where("large and label <> main").join(lead, "bucket").select("rep", "lead")
+                order = F.xxhash64("rep", "lead", F.lit(turn))
+                two = asked.groupBy("rep").agg(F.min_by("lead", order).alias("x"), F.max_by("lead", order).alias("y"))
+                led = two.select("rep", F.explode(F.array_distinct(F.array("x", "y"))).alias("lead"))
+                pairs = pairs.union(led.select(F.least("rep", "lead").alias("a"), F.greatest("rep", "lead").alias("b")))
+        pairs = stage(pairs.distinct(), "pairs")
+        found = _verified(pairs, sets, similarity)
+        unstage(pairs)
         links = found if links is None else links.union(found)
         if last:
             break
         parts = stage(connected_components(links), "parts")
         label = wanted.join(parts, wanted["id"] == parts["node"], "left").select(F.col("id").alias("rep"), F.coalesce("component", "id").alias("label"))
-        now = stage(open_rows.select("bucket", "rep").join(stage(label, "labels"), "rep").select("bucket", "rep", "label"), "open")
+        label = stage(label, "labels")
+        if turn < rounds:
+            now = stage(open_rows.select("bucket", "rep").join(label, "rep").select("bucket", "rep", "label"), "open")
+            unstage(open_rows)
     if links is None:
         named = reps.select("key", F.col("rep").alias("class_id"))
     else:
