@@ -45,7 +45,7 @@ WORDS, SIMILARITY = 5, 0.8
 #: 25 bands of 5 coordinates: a pair of similarity 0.8 escapes all bands once in 20,000.
 BANDS, ROWS = 25, 5
 #: Rounds of leaders before the pairs that are left are compared, and how many pairs a bucket's row may stand for if all are compared one by one.
-ROUNDS, PAIRS_A_ROW = 2, 0.6
+ROUNDS, PAIRS_A_ROW = 2, 3.0
 #: Rounds in which the members of a rare item are compared with its leader only.
 RARE_ROUNDS = 1
 #: Buckets of up to so many rows are compared pair by pair at once.
