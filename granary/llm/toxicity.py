@@ -63,6 +63,7 @@ class Lexicon:
             self.stem.add(self._add(t, 0))
         self.start = self._closed({(0, 0)})
         self.moves: dict[frozenset, dict[str, frozenset]] = {}
+        self.ends: dict[frozenset, int | None] = {}
         self.known: dict[str, int] = {}
 
     def _add(self, word: str, edits: int) -> int:
@@ -89,7 +90,9 @@ class Lexicon:
         return frozenset(items)
 
     def step(self, state: frozenset, c: str) -> frozenset:
-        moves = self.moves.setdefault(state, {})
+        moves = self.moves.get(state)
+        if moves is None:
+            moves = self.moves[state] = {}
         if c not in moves:
             out = set()
             for at, e in state:
@@ -112,20 +115,37 @@ class Lexicon:
                 self.known.clear()
             if len(self.moves) > 100_000:
                 self.moves.clear()
+                self.ends.clear()
             self.known[word] = found
         return found
 
+    def _stemmed(self, word: str) -> bool:
+        """Whether word starts with a stem; stems admit no edit, so the trie alone tells."""
+        at = 0
+        for c in word:
+            at = self.child[at].get(c)
+            if at is None:
+                return False
+            if at in self.stem:
+                return True
+        return False
+
+    def _end(self, state: frozenset) -> int | None:
+        """Least number of edits with which a term ends in state."""
+        if state not in self.ends:
+            self.ends[state] = min((e for at, e in state if at in self.term and e <= self.term[at]), default=None)
+        return self.ends[state]
+
     def _run(self, word: str) -> int:
-        state, stem = self.start, False
+        state = self.start
         for c in word:
             state = self.step(state, c)
             if not state:
                 break
-            stem = stem or any(e == 0 and at in self.stem for at, e in state)
-        ends = [e for at, e in state if at in self.term and e <= self.term[at]]
-        if ends and min(ends) == 0:
+        end = self._end(state)
+        if end == 0:
             return self.EXACT
-        return self.STEM if stem else self.FUZZY if ends else 0
+        return self.STEM if self._stemmed(word) else 0 if end is None else self.FUZZY
 
     def features(self, text: str) -> list[float]:
         """Sums over the windows of the hits of one text."""
