@@ -137,9 +137,10 @@ class Lexicon:
         return self.ends[state]
 
     def _run(self, word: str) -> int:
-        state = self.start
+        state, moves, none = self.start, self.moves, {}
         for c in word:
-            state = self.step(state, c)
+            seen = moves.get(state, none).get(c)
+            state = self.step(state, c) if seen is None else seen
             if not state:
                 break
         end = self._end(state)
