@@ -40,14 +40,14 @@ def proximity_groups(points: DataFrame, id_col: str, x: str, y: str, limit: floa
 
 def crossing_inside(px: Column, py: Column, ring: Column) -> Column:
     """Whether a point lies in a closed ring (array of struct x, y), by counting the edges to its right."""
-    edges = F.zip_with(F.slice(ring, 1, F.size(ring) - 1), F.slice(ring, 2, F.size(ring) - 1), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
+    edges = F.zip_with(F.slice(ring, 1, F.greatest(F.size(ring) - 1, F.lit(0))), F.slice(ring, 2, F.greatest(F.size(ring) - 1, F.lit(0))), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
     hit = lambda e: ((e["a"]["y"] > py) != (e["b"]["y"] > py)) & (px < e["a"]["x"] + (py - e["a"]["y"]) * F.try_divide(e["b"]["x"] - e["a"]["x"], e["b"]["y"] - e["a"]["y"]))
     return F.size(F.filter(edges, lambda e: F.coalesce(hit(e), F.lit(False)))) % 2 == 1
 
 
 def edge_distance(px: Column, py: Column, ring: Column) -> Column:
     """Least distance of a point to the edges of a closed ring."""
-    edges = F.zip_with(F.slice(ring, 1, F.size(ring) - 1), F.slice(ring, 2, F.size(ring) - 1), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
+    edges = F.zip_with(F.slice(ring, 1, F.greatest(F.size(ring) - 1, F.lit(0))), F.slice(ring, 2, F.greatest(F.size(ring) - 1, F.lit(0))), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
 
     def one(e):
         dx, dy = e["b"]["x"] - e["a"]["x"], e["b"]["y"] - e["a"]["y"]
@@ -70,7 +70,7 @@ def pixels_in_polygons(pixels: DataFrame, fields: DataFrame, x: str, y: str, buf
 
 def ring_area(ring: Column) -> Column:
     """Area of a closed ring by the shoelace sum."""
-    two = F.zip_with(F.slice(ring, 1, F.size(ring) - 1), F.slice(ring, 2, F.size(ring) - 1), lambda a, b: a["x"] * b["y"] - b["x"] * a["y"])
+    two = F.zip_with(F.slice(ring, 1, F.greatest(F.size(ring) - 1, F.lit(0))), F.slice(ring, 2, F.greatest(F.size(ring) - 1, F.lit(0))), lambda a, b: a["x"] * b["y"] - b["x"] * a["y"])
     return F.abs(F.aggregate(two, F.lit(0.0), lambda s, v: s + v)) / 2.0
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from granary.functions import scalars as S
 from granary.operators import aggregates as A
+from granary.operators import geometry as G
 from granary.operators import joins as J
 from granary.operators import ml
 from granary.operators import raster as R
@@ -427,7 +428,7 @@ def logistic_scores(spark, sf):
 @query()
 def forest_scores(spark, sf):
     e = ml.vectors(table(spark, sf, "embeddings").withColumn("strip", F.col("vec_id") % 5), "embedding")
-    return A.scores(ml.cross_validate(e, "label", "strip", ml.forest(20), [0, 1]).withColumn("model", F.lit("forest")), ["model"], "truth", "pred")
+    return A.scores(ml.cross_validate(e, "label", "strip", ml.forest(20), [0, 1, 2, 3, 4]).withColumn("model", F.lit("forest")), ["model"], "truth", "pred")
 
 
 @query()
@@ -438,3 +439,54 @@ def kmeans_choice(spark, sf):
 @query()
 def few_label_curve(spark, sf):
     return ml.few_label_curve(table(spark, sf, "embeddings"), "label", "vec_id", "embedding", [12, 24], 2)
+
+
+_N = 1 / 298.257223563 / (2 - 1 / 298.257223563)
+_ALPHA = [_N / 2 - 2 * _N**2 / 3 + 5 * _N**3 / 16, 13 * _N**2 / 48 - 3 * _N**3 / 5, 61 * _N**3 / 240]
+_ECC, _RADIUS = 2 * _N**0.5 / (1 + _N), 0.9996 * 6378137.0 / (1 + _N) * (1 + _N**2 / 4 + _N**4 / 64)
+_SERIES = {k: " + ".join(f"{a!r}::double * {x}({2 * i} * xi) * {y}({2 * i} * eta)" for i, a in enumerate(_ALPHA, 1)) for k, x, y in (("e", "cos", "sinh"), ("n", "sin", "cosh"))}
+
+
+@query(f"""with p as (select c_custkey, c_custkey % 360 - 179.5::double as lon, (c_nationkey * 6.5 - 78)::double as lat from customer),
+  z as (select *, cast(floor((lon + 180) / 6) + 1 as integer) as zone from p), s as (select *, sin(radians(lat)) as q, radians(lon - (zone * 6 - 183)) as dl from z),
+  t as (select *, sinh(atanh(q) - {_ECC!r}::double * atanh({_ECC!r}::double * q)) as t from s), x as (select *, atan2(t, cos(dl)) as xi, atanh(sin(dl) / sqrt(1 + t * t)) as eta from t)
+  select c_custkey, zone, round(500000 + {_RADIUS!r}::double * (eta + {_SERIES["e"]}), 3) as easting, round(case when lat < 0 then 10000000 else 0 end + {_RADIUS!r}::double * (xi + {_SERIES["n"]}), 3) as northing from x""")
+def utm_projection(spark, sf):
+    lon, lat = F.pmod("c_custkey", F.lit(360)) - 179.5, (F.col("c_nationkey") * 6.5 - 78).cast("double")
+    e, n = G.utm(lon, lat)
+    return table(spark, sf, "customer").select("c_custkey", G.utm_zone(lon).alias("zone"), F.round(e, 3).alias("easting"), F.round(n, 3).alias("northing"))
+
+
+def _rich(spark, sf):
+    return cells(spark, sf).where("v > 36000").select("r", "c")
+
+
+@query()
+def raster_components(spark, sf):
+    return G.components(_rich(spark, sf))
+
+
+@query()
+def fill_holes(spark, sf):
+    return G.fill_holes(_rich(spark, sf), 40, 40)
+
+
+@query()
+def field_outlines(spark, sf):
+    o = G.outlines(_rich(spark, sf))
+    return o.select("component", F.size("ring").alias("corners"), J.ring_area(F.col("ring")).alias("area"), J.ring_area(G.convex_hull(F.col("ring"))).alias("hull_area"), F.size(G.simplify(F.col("ring"), 0.5)).alias("simple_corners"))
+
+
+@query()
+def grown_field(spark, sf):
+    li = table(spark, sf, "lineitem")
+    r, c = F.pmod("l_partkey", F.lit(40)).cast("int"), F.pmod(F.floor(F.col("l_orderkey") / 7), F.lit(40)).cast("int")
+    cube = li.groupBy(r.alias("r"), c.alias("c"), F.month("l_shipdate").alias("month")).agg(F.avg("l_discount").alias("v"))
+    _, quality, threshold = G.grow_with_retry(cube, 20, 20, 40, 40)
+    return quality.withColumn("threshold", F.lit(threshold))
+
+
+@query()
+def visiting_tours(spark, sf):
+    n = table(spark, sf, "nation").withColumn("x", (F.col("n_nationkey") * 7 % 25).cast("double")).withColumn("y", (F.col("n_nationkey") * 11 % 23).cast("double"))
+    return G.tours(n, "n_regionkey", "n_nationkey", "x", "y")
