@@ -16,6 +16,7 @@ id are never inputs. Further columns are not read.
 
 from __future__ import annotations
 
+import functools
 import re
 from collections.abc import Iterator
 
@@ -35,8 +36,8 @@ PER_CLASS = 6_000
 #: Documents a term must occur in, the log-odds it must reach, and the most entries a lexicon has.
 MIN_DOCS, MIN_ODDS, MOST_TERMS = 4, 3.0, 5_000
 MIN_STEM = 4
-#: Distinct words whose outcome a Python worker remembers.
-REMEMBERED = 500_000
+#: Distinct words and automaton states that a Python worker remembers; both start anew beyond that, which changes no result.
+REMEMBERED, MOST_STATES = 500_000, 100_000
 # Marks and words that open a quotation or report speech, and words of address.
 QUOTES = "\"'“”„«»‘’"
 REPORTING = frozenset("said says wrote writes called calls quote quoted term word slur saying dit dijo sagte escribió écrit schrieb".split())
@@ -53,6 +54,7 @@ class Lexicon:
     EXACT, STEM, FUZZY = 1, 2, 3
 
     def __init__(self, terms: list[str], stems: list[str]):
+        self.words = tuple(terms), tuple(stems)
         self.child: list[dict[str, int]] = [{}]
         self.term: dict[int, int] = {}
         self.stem: set[int] = set()
@@ -66,6 +68,10 @@ class Lexicon:
         self.ends: dict[frozenset, int | None] = {}
         self.known: dict[str, int] = {}
 
+    def __reduce__(self):
+        """Sent as its words only; a Python worker builds the automaton once, not once a task."""
+        return shared_lexicon, self.words
+
     def _add(self, word: str, edits: int) -> int:
         at = 0
         self.most[0] = max(self.most[0], edits)
@@ -113,7 +119,7 @@ class Lexicon:
             found = self._run(word)
             if len(self.known) >= REMEMBERED:
                 self.known.clear()
-            if len(self.moves) > 100_000:
+            if len(self.moves) > MOST_STATES:
                 self.moves.clear()
                 self.ends.clear()
             self.known[word] = found
@@ -151,20 +157,24 @@ class Lexicon:
     def features(self, text: str) -> list[float]:
         """Sums over the windows of the hits of one text."""
         low = text.lower()
-        outcome = self.outcome
-        hits = {w: k for w in set(WORD.findall(low)) if (k := outcome(w))}
+        words = WORD.findall(low)
+        known, hits = self.known, {}
+        for w in set(words):
+            k = known.get(w)
+            if k is None:
+                k = self.outcome(w)
+            if k:
+                hits[w] = k
         out = [0.0] * N_FEATURES
         if not hits:
             return out
-        found = list(WORD.finditer(low))
+        at = [m.span() for m in WORD.finditer(low)]
         total = 0.0
-        for i, m in enumerate(found):
-            kind = hits.get(m.group())
-            if not kind:
-                continue
-            a, b = max(0, i - WINDOW), min(len(found) - 1, i + WINDOW)
-            before, after = low[found[a].start() : m.start()], low[m.end() : found[b].end()]
-            near = {x.group() for x in found[a : b + 1]}
+        for i in [i for i, w in enumerate(words) if w in hits]:
+            kind = hits[words[i]]
+            a, b = max(0, i - WINDOW), min(len(words) - 1, i + WINDOW)
+            before, after = low[at[a][0] : at[i][0]], low[at[i][1] : at[b][1]]
+            near = set(words[a : b + 1])
             opened = sum(before.count(q) for q in QUOTES if q != "'") % 2 or before.endswith("'")
             closed = any(q in after for q in QUOTES if q != "'") or after.startswith("'")
             quoted = bool(opened and closed) + bool(near & REPORTING)
@@ -172,13 +182,18 @@ class Lexicon:
             out[kind - 1] += weight
             out[3] += quoted > 0
             total += weight
-        out[4] = total / len(found)
+        out[4] = total / len(words)
         return [float(np.log1p(x)) for x in out[:4]] + [min(1.0, 20 * out[4])]
 
 
 N_FEATURES = 5
 
 
+@functools.lru_cache(maxsize=2)
+def shared_lexicon(terms: tuple[str, ...], stems: tuple[str, ...]) -> Lexicon:
+    return Lexicon(list(terms), list(stems))
+
+
 def build_lexicon(counts: list[tuple[str, bool, int, int]], n_pos: int, n_neg: int) -> tuple[list[str], list[str]]:
     """(terms, stems) of (string, is a whole word, toxic documents, clean documents).
 
