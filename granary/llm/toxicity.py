@@ -52,6 +52,7 @@ class Lexicon:
     """Trie of terms and stems, and the automaton that accepts what is near them."""
 
     EXACT, STEM, FUZZY = 1, 2, 3
+    EDITS = 4
 
     def __init__(self, terms: list[str], stems: list[str]):
         self.words = tuple(terms), tuple(stems)
@@ -63,9 +64,11 @@ class Lexicon:
             self.term[self._add(t, edits_allowed(t))] = edits_allowed(t)
         for t in stems:
             self.stem.add(self._add(t, 0))
-        self.start = self._closed({(0, 0)})
-        self.moves: dict[frozenset, dict[str, frozenset]] = {}
-        self.ends: dict[frozenset, int | None] = {}
+        # An item is EDITS * node + edits, held once; a state is the sorted tuple of its items.
+        self.item = list(range(self.EDITS * len(self.child)))
+        self.start = self._closed({0})
+        self.moves: dict[tuple, dict[str, tuple]] = {}
+        self.ends: dict[tuple, int | None] = {}
         self.known: dict[str, int] = {}
 
     def __reduce__(self):
@@ -84,31 +87,33 @@ class Lexicon:
             self.most[at] = max(self.most[at], edits)
         return at
 
-    def _closed(self, items: set[tuple[int, int]]) -> frozenset:
+    def _closed(self, items: set[int]) -> tuple[int, ...]:
         """With every state that skipping letters of the lexicon reaches."""
         todo = list(items)
         while todo:
-            at, e = todo.pop()
+            at, e = divmod(todo.pop(), self.EDITS)
             for nxt in self.child[at].values():
-                if e < self.most[nxt] and (nxt, e + 1) not in items:
-                    items.add((nxt, e + 1))
-                    todo.append((nxt, e + 1))
-        return frozenset(items)
+                x = self.EDITS * nxt + e + 1
+                if e < self.most[nxt] and x not in items:
+                    items.add(x)
+                    todo.append(x)
+        return tuple([self.item[x] for x in sorted(items)])
 
-    def step(self, state: frozenset, c: str) -> frozenset:
+    def step(self, state: tuple[int, ...], c: str) -> tuple[int, ...]:
         moves = self.moves.get(state)
         if moves is None:
             moves = self.moves[state] = {}
         if c not in moves:
             out = set()
-            for at, e in state:
+            for x in state:
+                at, e = divmod(x, self.EDITS)
                 for letter, nxt in self.child[at].items():
                     if letter == c:
-                        out.add((nxt, e))
+                        out.add(self.EDITS * nxt + e)
                     elif e < self.most[nxt]:
-                        out.add((nxt, e + 1))
+                        out.add(self.EDITS * nxt + e + 1)
                 if e < self.most[at]:
-                    out.add((at, e + 1))
+                    out.add(x + 1)
             moves[c] = self._closed(out)
         return moves[c]
 
@@ -136,10 +141,11 @@ class Lexicon:
                 return True
         return False
 
-    def _end(self, state: frozenset) -> int | None:
+    def _end(self, state: tuple[int, ...]) -> int | None:
         """Least number of edits with which a term ends in state."""
         if state not in self.ends:
-            self.ends[state] = min((e for at, e in state if at in self.term and e <= self.term[at]), default=None)
+            found = [divmod(x, self.EDITS) for x in state]
+            self.ends[state] = min((e for at, e in found if at in self.term and e <= self.term[at]), default=None)
         return self.ends[state]
 
     def _run(self, word: str) -> int:
@@ -189,7 +195,7 @@ class Lexicon:
 N_FEATURES = 5
 
 
-@functools.lru_cache(maxsize=2)
+@functools.lru_cache(maxsize=1)
 def shared_lexicon(terms: tuple[str, ...], stems: tuple[str, ...]) -> Lexicon:
     return Lexicon(list(terms), list(stems))
 
