@@ -9,7 +9,9 @@ a reserved network, and a name after a title becomes a name of the title's
 gender. All distinct entities are then checked against one another and against
 the surrogates: where two would share a surrogate, or a surrogate is someone's
 real entity, the later in order takes the next one of its sequence, and those
-few exceptions go into the replacement.
+few exceptions go into the replacement. After ROUNDS such turns a shape is taken
+as crowded: its next surrogates are longer (addresses come from wider reserved
+networks), and the turns go on until every entity has one of its own.
 
 Defined results: a null text stays null with no entities; text outside of
 entities is kept byte for byte; entities that touch letters or digits on either
@@ -27,6 +29,7 @@ from granary.plans.staging import stage
 KEY = "granary-demo-key"
 #: Exceptions that may go into the plan as one map; above it they are joined to the mentions.
 MAP_BOUND = 10_000
+#: Surrogates of the entity's own shape that are tried before wider ones are.
 ROUNDS = 12
 
 # Titles by gender, and names that stand in for names.
@@ -110,11 +113,17 @@ def _masked(text: Column, hexes: Column, lower: Column) -> Column:
 
 
 def _parts(m: Column) -> Column:
-    """struct(head, body, tail) of one mention m (entity, kind, h): a head and a tail ready to stand, a body to be masked."""
+    """struct(head, body, tail) of one mention m (entity, kind, nonce, h): a head and a tail ready to stand, a body to be masked."""
     e, kind, h = m["entity"], m["kind"], m["h"]
     n = lambda i, most: _draw(h, F.lit(i), most)
     mail = F.concat(F.lit("@mail"), n(70, 100000).cast("string"), F.element_at(F.array(F.lit(".example.com"), F.lit(".example.net"), F.lit(".example.org")), n(71, 3) + 1))
-    ip = F.concat_ws(".", F.lit("10"), *(n(i, 256).cast("string") for i in range(3)))
+    octets = [n(i, 256).cast("string") for i in range(3)]
+    groups = [F.lower(F.hex(n(i, 65536))) for i in range(6)]
+    ip = (
+        F.when(m["nonce"] < ROUNDS, F.concat_ws(".", F.lit("10"), *octets))
+        .when(m["nonce"] < 2 * ROUNDS, F.concat_ws(".", (n(3, 16) + 240).cast("string"), *octets))
+        .otherwise(F.concat_ws(":", F.lit("2001"), F.lit("db8"), *groups))
+    )
     title = F.regexp_extract(e, rf"^((?:{_TITLE})\.? )", 1)
     female = F.rtrim(F.regexp_replace(title, r"\.", "")).isin(TITLES["f"])
     given = F.element_at(F.when(female, F.array(*map(F.lit, NAMES["f"]))).otherwise(F.array(*map(F.lit, NAMES["m"]))), n(80, len(NAMES["m"])) + 1)
@@ -129,12 +138,17 @@ def _parts(m: Column) -> Column:
     )
     skip = F.when(kind == "name", F.length(title) + F.length(first)).otherwise(F.length(head))
     body = F.when(kind == "email", F.regexp_extract(e, r"^([^@]*)@", 1)).when(kind == "ip", "").otherwise(F.substr(e, skip + 1))
+    # A crowded shape: the last letter or digit once more, and again after every two turns.
+    last = r"(?s)^(.*([\p{L}\p{N}]))([^\p{L}\p{N}]*)$"
+    part = lambda i: F.regexp_extract(body, last, i)
+    more = F.floor((m["nonce"] - ROUNDS) / 2).cast("int") + 1
+    body = F.when(m["nonce"] < ROUNDS, body).otherwise(F.concat(part(1), F.repeat(part(2), more), part(3)))
     return F.struct(head.alias("head"), body.alias("body"), F.when(kind == "email", mail).otherwise("").alias("tail"), h.alias("h"), F.when((kind == "secret") & ~body.rlike("[g-z]"), 6).otherwise(26).alias("lower"))
 
 
 def surrogates(found: Column, key: str = KEY) -> Column:
     """array<string> of the replacements of an array of struct(entity, kind, canon, nonce)."""
-    hashed = F.transform(found, lambda m: F.struct(m["entity"].alias("entity"), m["kind"].alias("kind"), _stream(m["kind"], m["canon"], m["nonce"], key).alias("h")))
+    hashed = F.transform(found, lambda m: F.struct(m["entity"].alias("entity"), m["kind"].alias("kind"), m["nonce"].alias("nonce"), _stream(m["kind"], m["canon"], m["nonce"], key).alias("h")))
     parts = F.transform(hashed, _parts)
     return F.transform(parts, lambda m: F.concat(m["head"], _masked(m["body"], m["h"], m["lower"]), m["tail"]))
 
@@ -167,7 +181,7 @@ def exceptions(docs: DataFrame, text_col: str = "text", key: str = KEY) -> tuple
     known = stage(_distinct_entities(docs, text_col), "entities")
     now = known.withColumn("nonce", F.lit(0))
     taken = None
-    for turn in range(ROUNDS):
+    while True:
         one = F.array(F.struct(F.col("form").alias("entity"), "kind", "canon", "nonce"))
         made = now.select("*", F.explode(surrogates(one, key)).alias("made"))
         made = stage(made.withColumn("new", canonical(F.col("made"), F.col("kind"))).drop("made"), "surrogates")
@@ -186,9 +200,7 @@ def exceptions(docs: DataFrame, text_col: str = "text", key: str = KEY) -> tuple
         if not again.limit(1).count():
             break
         now = again
-    # What is left after all rounds has a range smaller than its entities; it keeps its last surrogate.
-    left = again.select("kind", "canon", "nonce")
-    out = stage(taken.where("nonce > 0").select("kind", "canon", "nonce").union(left), "exceptions")
+    out = stage(taken.where("nonce > 0").select("kind", "canon", "nonce"), "exceptions")
     return out, out.count()
 
 

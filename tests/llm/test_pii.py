@@ -56,6 +56,19 @@ def test_collisions_are_resolved(spark, monkeypatch):
         assert len(set(of.values())) == len(of) and "10.0.0.3" not in of.values()
 
 
+def test_a_crowded_range_leaves_no_entity_unchecked(spark, monkeypatch):
+    """All two-letter names are real, so no surrogate of that shape is free; nor is an address where the first two networks are full."""
+    monkeypatch.setattr(pii, "ROUNDS", 2)
+    monkeypatch.setattr(pii, "_draw", lambda hexes, i, modulo, draw=pii._draw: draw(hexes, i, modulo) % (2 if isinstance(modulo, int) and modulo in (16, 256) else 1 << 20))
+    names = [a + b for a in "ABCDEFGHIJKLMNOPQRSTUVWXYZ" for b in "abcdefghijklmnopqrstuvwxyz"]
+    hosts = [f"44.1.2.{i}" for i in range(40)]
+    rows = [(0, "; ".join(f"Mr {n}" for n in names)), (1, "; ".join(hosts))]
+    got = run(spark, rows)
+    new = [x.removeprefix("Mr ") for x in got[0].text.split("; ")], got[1].text.split("; ")
+    assert len(set(new[0])) == len(names) and not set(new[0]) & set(names)
+    assert len(set(new[1])) == len(hosts) and not set(new[1]) & set(hosts)
+
+
 def test_other_keys_give_other_surrogates_and_empty_tables_work(spark):
     assert run(spark, ROWS[:1])[1].text != run(spark, ROWS[:1], key="other")[1].text
     assert run(spark, [])  == {}
