@@ -7,8 +7,8 @@ up. Digits become digits and letters letters of the same script and case, while
 separators, lengths and types stay; mail goes to reserved domains, addresses to
 a reserved network, and a name after a title becomes a name of the title's
 gender. All distinct entities are then checked against one another and against
-the surrogates: where two would share a surrogate, or a surrogate is someone's
-real entity, the later in order takes the next one of its sequence, and those
+the surrogates, in every form they are written in: where two would share a
+surrogate, or a surrogate is someone's real entity, the later in order takes the next one of its sequence, and those
 few exceptions go into the replacement. After ROUNDS such turns a shape is taken
 as crowded: its next surrogates are longer (addresses come from wider reserved
 networks), and the turns go on until every entity has one of its own.
@@ -90,9 +90,12 @@ def _draw(hexes: Column, i: Column, modulo) -> Column:
     return F.conv(F.substr(hexes, (i * 5) % 500 + 1, F.lit(5)), 16, 10).cast("int") % modulo
 
 
-# Digits, and letters of the scripts whose letters are replaced within the script and case.
-ALPHABETS = ["0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "абвгдежзиклмнопрстуфхцчшщыэюя", "АБВГДЕЖЗИКЛМНОПРСТУФХЦЧШЩЫЭЮЯ", "αβγδεζηθικλμνξοπρστυφχψω", "ΑΒΓΔΕΖΗΘΙΚΛΜΝΞΟΠΡΣΤΥΦΧΨΩ"]
-_SETS = r"^(?:(\d)|([a-zß-öø-ÿ])|([A-ZÀ-ÖØ-Þ])|([а-яё])|([А-ЯЁ])|([α-ωά-ώ])|([Α-ΩΆ-Ώ]))$"
+#: Country codes, which phone numbers keep; they are read off the digits, whatever stands between these.
+_CODE = r"^(\+" + r"(?:1|7|2~[07]|3~[0-469]|4~[013-9]|5~[1-8]|6~[0-6]|8~[1246]|9~[0-58]|\d~\d~\d))".replace("~", r"[ .()-]*")
+# Digits, and letters of the scripts whose letters are replaced within the script and case; letters of others become Latin ones of their case.
+ALPHABETS = ["0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "абвгдежзиклмнопрстуфхцчшщыэюя", "АБВГДЕЖЗИКЛМНОПРСТУФХЦЧШЩЫЭЮЯ", "αβγδεζηθικλμνξοπρστυφχψω", "ΑΒΓΔΕΖΗΘΙΚΛΜΝΞΟΠΡΣΤΥΦΧΨΩ", "աբգդեզէըթժիլխծկհձղճմյնշոչպջռսվտրցւփքօֆ", "ԱԲԳԴԵԶԷԸԹԺԻԼԽԾԿՀՁՂՃՄՅՆՇՈՉՊՋՌՍՎՏՐՑՒՓՔՕՖ"]
+ALPHABETS += ALPHABETS[1:3]
+_SETS = r"^(?:(\d)|" + "|".join(rf"([\p{{Is{x}}}&&\p{{L}}&&[^\p{{Lu}}]])|([\p{{Is{x}}}&&\p{{Lu}}])" for x in ("Latin", "Cyrillic", "Greek", "Armenian")) + r"|([\p{L}&&[^\p{Lu}]])|(\p{Lu}))$"
 
 
 def _masked(text: Column, hexes: Column, lower: Column) -> Column:
@@ -104,7 +107,7 @@ def _masked(text: Column, hexes: Column, lower: Column) -> Column:
 
     def step(acc, c):
         drawn = c
-        for i, a in enumerate(ALPHABETS, 1):
+        for i, a in reversed([*enumerate(ALPHABETS, 1)]):  # digits and Latin letters are tried first
             many = lower if i == 2 else F.lit(len(a))
             drawn = F.when(F.regexp_extract(c, _SETS, i) != "", F.substr(F.lit(a), _draw(hexes, acc["n"], many) + 1, F.lit(1))).otherwise(drawn)
         return F.struct(F.concat(acc["out"], F.when(c.rlike(_SETS), drawn).otherwise(c)).alias("out"), (acc["n"] + c.rlike(_SETS).cast("int")).alias("n"))
@@ -134,7 +137,7 @@ def _parts(m: Column) -> Column:
         .when(kind == "name", F.concat(title, F.when(first != "", F.concat(given, F.lit(" "))).otherwise("")))
         .when(kind == "secret", F.regexp_extract(e, r"^([^=:]*[=:]\s*[\"']?)", 1))
         .when(kind == "iban", F.substring(e, 1, 2)).when(kind == "aws_key", F.substring(e, 1, 4))
-        .when(kind == "phone", F.regexp_extract(e, r"^(\+\d{1,3}(?=[ .-]))", 1)).when(kind == "card", F.substring(e, 1, 1)).otherwise("")
+        .when(kind == "phone", F.regexp_extract(e, _CODE, 1)).when(kind == "card", F.substring(e, 1, 1)).otherwise("")
     )
     skip = F.when(kind == "name", F.length(title) + F.length(first)).otherwise(F.length(head))
     body = F.when(kind == "email", F.regexp_extract(e, r"^([^@]*)@", 1)).when(kind == "ip", "").otherwise(F.substr(e, skip + 1))
@@ -166,10 +169,9 @@ def mentions(text: Column) -> Column:
 
 
 def _distinct_entities(docs: DataFrame, text_col: str) -> DataFrame:
-    """(kind, canon, form): every entity once, with the least of its written forms."""
-    found = docs.select(F.explode(mentions(F.col(text_col))).alias("entity")).distinct()
-    found = found.select(F.explode(described(F.array("entity"))).alias("m")).select("m.*")
-    return found.groupBy("kind", "canon").agg(F.min("entity").alias("form"))
+    """(kind, canon, form): every written form of every entity once."""
+    found = docs.select(F.explode(mentions(F.col(text_col))).alias("form")).distinct()
+    return found.select(F.explode(described(F.array("form"))).alias("m")).select("m.kind", "m.canon", F.col("m.entity").alias("form"))
 
 
 def exceptions(docs: DataFrame, text_col: str = "text", key: str = KEY) -> tuple[DataFrame, int]:
@@ -179,13 +181,13 @@ def exceptions(docs: DataFrame, text_col: str = "text", key: str = KEY) -> tuple
     end as one, and no surrogate is another entity of the corpus.
     """
     known = stage(_distinct_entities(docs, text_col), "entities")
+    real = stage(known.select("kind", F.col("canon").alias("new")).distinct(), "real").withColumn("is_real", F.lit(True))
     now = known.withColumn("nonce", F.lit(0))
     taken = None
     while True:
         one = F.array(F.struct(F.col("form").alias("entity"), "kind", "canon", "nonce"))
-        made = now.select("*", F.explode(surrogates(one, key)).alias("made"))
-        made = stage(made.withColumn("new", canonical(F.col("made"), F.col("kind"))).drop("made"), "surrogates")
-        real = known.select("kind", F.col("canon").alias("new"), F.lit(True).alias("is_real"))
+        made = now.select("kind", "canon", "nonce", F.explode(surrogates(one, key)).alias("made"))
+        made = stage(made.select("kind", "canon", "nonce", canonical(F.col("made"), F.col("kind")).alias("new")).distinct(), "surrogates")
         held = made.join(real, ["kind", "new"], "left")
         if taken is not None:
             held = held.join(taken.select("kind", "new", F.lit(True).alias("is_taken")), ["kind", "new"], "left")
@@ -194,13 +196,15 @@ def exceptions(docs: DataFrame, text_col: str = "text", key: str = KEY) -> tuple
         first = stage(made.groupBy("kind", "new").agg(F.min("canon").alias("owner")), "owners")
         held = held.join(first, ["kind", "new"])
         good = F.col("is_real").isNull() & F.col("is_taken").isNull() & (F.col("canon") == F.col("owner"))
-        fresh = stage(held.where(good).select("kind", "canon", "form", "nonce", "new"), "settled")
+        # An entity settles with all its forms or with none.
+        judged = stage(held.groupBy("kind", "canon", "nonce").agg(F.every(good).alias("good")), "judged")
+        fresh = stage(made.join(judged.where("good"), ["kind", "canon", "nonce"]).select("kind", "canon", "nonce", "new"), "settled")
         taken = fresh if taken is None else taken.union(fresh)
-        again = stage(held.where(~good).select("kind", "canon", "form", (F.col("nonce") + 1).alias("nonce")), "again")
+        again = judged.where("not good").select("kind", "canon", (F.col("nonce") + 1).alias("nonce"))
         if not again.limit(1).count():
             break
-        now = again
-    out = stage(taken.where("nonce > 0").select("kind", "canon", "nonce"), "exceptions")
+        now = known.join(again, ["kind", "canon"])
+    out = stage(taken.where("nonce > 0").select("kind", "canon", "nonce").distinct(), "exceptions")
     return out, out.count()
 
 

@@ -69,6 +69,31 @@ def test_a_crowded_range_leaves_no_entity_unchecked(spark, monkeypatch):
     assert len(set(new[1])) == len(hosts) and not set(new[1]) & set(hosts)
 
 
+def test_written_forms_of_one_entity_agree(spark):
+    phones = ["+1 (988) 555-2485", "+19885552485", "+1(988) 555-2485", "+1.988.555.2485"]
+    got = run(spark, [*enumerate(phones), (8, "+358 40 123 4567"), (9, "+35840 123 4567")])
+    digits = {i: re.sub(r"\D", "", r.text) for i, r in got.items()}
+    assert len({digits[i] for i in range(4)}) == 1 and digits[0][0] == "1" and digits[0] != "19885552485"
+    assert re.fullmatch(r"\+1\(\d{3}\) \d{3}-\d{4}", got[2].text) and digits[8] == digits[9] and digits[8][:3] == "358"
+
+
+def test_every_form_is_checked_for_collisions(spark, monkeypatch):
+    """A two-part name under titles of both genders has two surrogates; neither may be another's."""
+    monkeypatch.setattr(pii, "_draw", lambda hexes, i, modulo, draw=pii._draw: draw(hexes, i, modulo) % 3)
+    names = [f"{a} X{b}" for a in ("Zoe", "Yan", "Wes", "Val") for b in "qrstuv"]
+    got = run(spark, [(0, "; ".join(f"{t} {n}" for n in names for t in ("Mr", "Ms")))])
+    assert len(set(got[0].text.split("; "))) == 2 * len(names)
+
+
+def test_letters_of_every_script_are_replaced(spark):
+    names = ["Šłćž", "Łśćż", "Արամյան", "Їґєі", "Ắếự", "Ꮳꮃꭹ"]
+    got = run(spark, list(enumerate(f"Mr {n} left" for n in names)))
+    for i, n in enumerate(names):
+        new = re.fullmatch(r"Mr (\S+) left", got[i].text)[1]
+        assert len(new) == len(n) and not any(a == b for a, b in zip(new, n)) and new[0].isupper()
+    assert re.fullmatch(r"[Ա-Ֆ][ա-ֆ]{6}", got[2].text[3:-5])
+
+
 def test_other_keys_give_other_surrogates_and_empty_tables_work(spark):
     assert run(spark, ROWS[:1])[1].text != run(spark, ROWS[:1], key="other")[1].text
     assert run(spark, [])  == {}
