@@ -14,6 +14,7 @@ one row. Further columns are not read.
 
 from __future__ import annotations
 
+import math
 import re
 from bisect import bisect_left
 from collections import Counter
@@ -98,7 +99,7 @@ class Scanner:
         # A template's marks: so many of its least shared and longest words that an accepted alignment must hold one.
         self.marks: dict[str, set[str]] = {}
         for name, ws in self.templates.items():
-            free = int(len(ws) * (1 - coverage)) + 1
+            free = len(ws) - math.ceil(coverage * len(ws) - 1e-9) + 1
             ranked = sorted(set(ws), key=lambda w: (spread[w], -len(w), w))
             taken, n, count = set(), 0, Counter(ws)
             for w in ranked:
@@ -146,17 +147,17 @@ class Scanner:
                 else:
                     i += 1
         best = []
-        for h in sorted(hits, key=lambda h: (-h[1], -len(self.templates[h[0]]), h[2], h[0])):
+        for h in sorted(hits, key=lambda h: (-h[1], -len(self.templates[h[0]]), h[3] - h[2], h[2], h[0])):
             if all(h[3] <= x[2] or h[2] >= x[3] for x in best):
                 best.append(h)
         return [(n, round(s, 4), found[a].start(), found[b - 1].end()) for n, s, a, b in sorted(best, key=lambda h: (h[2], h[0]))]
 
     @staticmethod
     def _tightest(words: list[str], lo: int, hi: int, mark: int, t: list[str]) -> list[tuple[int, int]]:
-        """The best alignment over stretches round a mark: each start that puts the mark in its place of the template."""
+        """The best alignment over stretches round a mark: each start that puts the mark in its place of the template, then the whole stretch."""
         best: list[tuple[int, int]] = []
-        for q in (q for q, w in enumerate(t) if w == words[mark]):
-            a, b = max(lo, mark - q - 2), min(hi, mark - q + len(t) + 2)
+        near = [(max(lo, mark - q - 2), min(hi, mark - q + len(t) + 2)) for q, w in enumerate(t) if w == words[mark]]
+        for a, b in [*near, (lo, hi)]:
             pairs = [(p + a, k) for p, k in align(words[a:b], t)]
             if len(pairs) > len(best):
                 best = pairs

@@ -41,6 +41,13 @@ def test_scans(spark):
     assert text[4][hit.start : hit.stop] == TEMPLATES["GPL-3.0"][:-1] and hit.coverage == 1
 
 
+def test_notices_at_the_bound_and_with_words_between():
+    scan = Scanner(TEMPLATES).scan
+    assert [x[:2] for x in scan("Distributed under the MIT License.")] == [("MIT", 0.8)]
+    assert [x[:2] for x in scan("Released by its authors and contributors under the MIT License")] == [("MIT", 1.0)]
+    assert [x[0] for x in scan(TEMPLATES["GPL-3.0"] + " " + TEMPLATES["Apache-2.0"])] == ["GPL-3.0", "Apache-2.0"]
+
+
 def test_no_templates(spark):
     assert Scanner({}).scan("abc") == []
     assert scan_licenses(spark.createDataFrame([], "doc_id long, text string")).count() == 0
