@@ -243,6 +243,13 @@ def proximity_groups(spark, sf):
     return J.proximity_groups(p, "id", "x", "y", 20.0)
 
 
+@query()
+def proximity_groups_all(spark, sf):
+    """As proximity_groups, over the whole of part; too much for the recursive SQL."""
+    p = table(spark, sf, "part").select(F.col("p_partkey").alias("id"), (F.col("p_partkey") * 7919 % 5000 / 10.0).alias("x"), (F.col("p_partkey") * 104729 % 5000 / 10.0).alias("y"))
+    return J.proximity_groups(p, "id", "x", "y", 20.0)
+
+
 @query(f"""with {_CELLS}, f(name, k, x, y) as (values ('a', 1, 2.3, 3.1), ('a', 2, 20.2, 5.4), ('a', 3, 15.7, 25.3), ('a', 4, 2.3, 3.1), ('b', 1, 12.1, 12.2), ('b', 2, 36.4, 14.3), ('b', 3, 30.6, 37.8), ('b', 4, 10.9, 30.7), ('b', 5, 12.1, 12.2)),
   e as (select name, x as ax, y as ay, lead(x) over (partition by name order by k) as bx, lead(y) over (partition by name order by k) as by_ from f),
   i as (select r, c, name from cells, e where bx is not null and (ay > r + 0.5) <> (by_ > r + 0.5) and c + 0.5 < ax + (r + 0.5 - ay) * (bx - ax) / (by_ - ay) group by 1, 2, 3 having count(*) % 2 = 1)

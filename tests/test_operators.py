@@ -12,6 +12,7 @@ from granary.operators import aggregates as A
 from granary.operators import joins as J
 from granary.operators import raster as R
 from granary.operators import series as W
+from granary.plans import catalogue
 from granary.sources import io
 from granary.streaming.windows import windowed_means
 
@@ -103,6 +104,22 @@ def test_rasters_against_numpy(spark):
     assert R.dilate(g, 0, 6, 7).count() == 42 and R.opening(g, 6, 7).count() == 42
 
 
+def test_proximity_groups_of_all_parts(spark):
+    """Brute force over every pair, at a size where part has ids of 300 and above."""
+    sf = "/root/testdata/sf0.01"
+    ids = np.array(sorted(r.p_partkey for r in spark.read.parquet(f"{sf}/part.parquet").select("p_partkey").collect()), np.int64)
+    x, y = ids * 7919 % 5000 / 10.0, ids * 104729 % 5000 / 10.0
+    near = np.hypot(x[:, None] - x, y[:, None] - y) <= 20.0
+    part = ids.copy()
+    while True:
+        least = np.where(near, part, ids.max() + 1).min(axis=1)
+        if (least == part).all():
+            break
+        part = least
+    got = catalogue.QUERIES["proximity_groups_all"](spark, sf).collect()
+    assert len(ids) > 300 and sorted((r.id, r.component) for r in got) == list(zip(ids.tolist(), part.tolist()))
+
+
 def test_polygon_predicates(spark):
     ring = [(0.0, 0.0), (4.0, 0.0), (4.0, 4.0), (0.0, 4.0), (0.0, 0.0)]
     f = spark.createDataFrame([("sq", ring)], "name string, ring array<struct<x:double,y:double>>")
