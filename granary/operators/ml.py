@@ -10,7 +10,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from granary.operators.aggregates import class_weights, scores
-from granary.operators.sampling import few_labels
+from granary.operators.sampling import draw
+from granary.plans.staging import stage
 
 
 def vectors(df: DataFrame, col: str) -> DataFrame:
@@ -62,16 +63,25 @@ def best_kmeans(df: DataFrame, ks: range, seeds: int = 3) -> DataFrame:
 
 
 def few_label_curve(df: DataFrame, cls: str, key: str, vec: str, sizes: list[int], draws: int) -> DataFrame:
-    """(labels, mean, std): balanced accuracy of the nearest centroid of few labels, over draws; std is of the sample."""
-    out = None
-    for n in sizes:
-        for d in range(draws):
-            train = few_labels(df, cls, key, n, str(d)).select(key)
-            marked = df.join(F.broadcast(train.withColumn("_t", F.lit(1))), key, "left").withColumn("strip", F.coalesce("_t", F.lit(0)))
-            p = centroid_predictions(marked, key, cls, vec, "strip").where("strip = 0")
-            s = scores(p, ["strip"], "truth", "pred").select(F.lit(n).alias("labels"), "balanced")
-            out = s if out is None else out.union(s)
-    return out.groupBy("labels").agg(F.avg("balanced").alias("mean"), F.stddev("balanced").alias("std"))
+    """(labels, mean, std): balanced accuracy of the nearest centroid of few labels, over draws; std is of the sample.
+
+    The draws are those of few_labels with the seeds 0, 1, ...; all sizes and
+    draws share one plan, in which each is a row with its centroids.
+    """
+    most = max(sizes)
+    d = df.select(key, F.col(cls).alias("pred"), F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("seed")).withColumn("_d", draw(F.col(key), F.col("seed")))
+    # No draw takes more than `most` of a class, so that the order over all classes is of few rows.
+    top = d.withColumn("_c", F.row_number().over(Window.partitionBy("seed", "pred").orderBy("_d", key))).where(F.col("_c") <= most)
+    place = F.row_number().over(Window.partitionBy("seed").orderBy(F.when(F.col("_c") == 1, 0).otherwise(1), "_d", key))
+    wanted = F.array(*map(F.lit, sizes))
+    train = stage(top.withColumn("_p", place).withColumn("labels", F.explode(F.filter(wanted, lambda n: n >= F.col("_p")))).select("labels", "seed", key, "pred"), "few-labels")
+    long = train.join(df.select(key, vec), key).select("labels", "seed", "pred", F.posexplode(F.col(vec).cast("array<double>")).alias("d", "x"))
+    mean = long.groupBy("labels", "seed", "pred", "d").agg(F.avg("x").alias("m")).groupBy("labels", "seed", "pred").agg(F.transform(F.sort_array(F.collect_list(F.struct("d", "m"))), lambda e: e["m"]).alias("mean"))
+    models = mean.groupBy("labels", "seed").agg(F.collect_list(F.struct("pred", "mean")).alias("model")).join(train.groupBy("labels", "seed").agg(F.collect_set(key).alias("taken")), ["labels", "seed"])
+    rest = df.select(key, F.col(cls).alias("truth"), F.col(vec).cast("array<double>").alias("v")).crossJoin(F.broadcast(stage(models, "centroids"))).where(~F.array_contains("taken", F.col(key)))
+    dist = lambda m: F.aggregate(F.zip_with("v", m["mean"], lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, v: s + v)
+    near = rest.select("labels", "seed", "truth", F.array_min(F.transform("model", lambda m: F.struct(F.round(dist(m), 9).alias("dist"), m["pred"].alias("pred"))))["pred"].alias("pred"))
+    return scores(near, ["labels", "seed"], "truth", "pred").groupBy("labels").agg(F.avg("balanced").alias("mean"), F.stddev("balanced").alias("std"))
 
 
 def stratified_folds(df: DataFrame, cls: str, key: str, k: int) -> DataFrame:

@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def draw(key: Column, seed: str) -> Column:
-    return F.md5(F.concat(key.cast("string"), F.lit(f":{seed}")))
+def draw(key: Column, seed: str | Column) -> Column:
+    return F.md5(F.concat(key.cast("string"), F.lit(":"), seed.cast("string") if isinstance(seed, Column) else F.lit(seed)))
 
 
 def capped(df: DataFrame, group: list[str], key: str, most: int, seed: str = "0") -> DataFrame:

@@ -435,17 +435,17 @@ def logistic_scores(spark, sf):
 @query()
 def forest_scores(spark, sf):
     e = ml.vectors(table(spark, sf, "embeddings").withColumn("strip", F.col("vec_id") % 5), "embedding")
-    return A.scores(ml.cross_validate(e, "label", "strip", ml.forest(20), [0, 1, 2, 3, 4]).withColumn("model", F.lit("forest")), ["model"], "truth", "pred")
+    return A.scores(ml.cross_validate(e, "label", "strip", ml.forest(500), [0, 1, 2, 3, 4]).withColumn("model", F.lit("forest")), ["model"], "truth", "pred")
 
 
 @query()
 def kmeans_choice(spark, sf):
-    return ml.best_kmeans(ml.vectors(table(spark, sf, "embeddings"), "embedding").select("vec_id", "features"), range(3, 6), 2)
+    return ml.best_kmeans(ml.vectors(table(spark, sf, "embeddings"), "embedding").select("vec_id", "features"), range(3, 11), 20)
 
 
 @query()
 def few_label_curve(spark, sf):
-    return ml.few_label_curve(table(spark, sf, "embeddings"), "label", "vec_id", "embedding", [12, 24], 2)
+    return ml.few_label_curve(table(spark, sf, "embeddings"), "label", "vec_id", "embedding", [3, 6, 12, 24], 30)
 
 
 _N = 1 / 298.257223563 / (2 - 1 / 298.257223563)

@@ -10,8 +10,10 @@ from pyspark.sql import functions as F
 from granary.functions import scalars as S
 from granary.operators import aggregates as A
 from granary.operators import joins as J
+from granary.operators import ml
 from granary.operators import raster as R
 from granary.operators import series as W
+from granary.operators.sampling import few_labels
 from granary.plans import catalogue
 from granary.sources import io
 from granary.streaming.windows import windowed_means
@@ -120,6 +122,29 @@ def test_proximity_groups_of_all_parts(spark):
     assert len(ids) > 300 and sorted((r.id, r.component) for r in got) == list(zip(ids.tolist(), part.tolist()))
 
 
+def test_learning_queries_run_the_whole_job(spark, monkeypatch):
+    """The reference's k, starts, sizes, draws and trees."""
+    sf, asked = "/root/testdata/sf0.001", []
+    monkeypatch.setattr(catalogue.ml, "best_kmeans", lambda df, ks, seeds: asked.append((list(ks), seeds)))
+    monkeypatch.setattr(catalogue.ml, "few_label_curve", lambda df, cls, key, vec, sizes, draws: asked.append((sizes, draws)))
+    monkeypatch.setattr(catalogue.ml, "cross_validate", lambda df, cls, strip, estimator, strips: asked.append(estimator.getNumTrees()) or spark.createDataFrame([(1, 1)], "truth int, pred int"))
+    for name in ("kmeans_choice", "few_label_curve", "forest_scores"):
+        catalogue.QUERIES[name](spark, sf)
+    assert asked == [(list(range(3, 11)), 20), ([3, 6, 12, 24], 30), 500]
+
+
+def test_few_label_curve_against_single_draws(spark):
+    e = spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet").where("vec_id < 200").cache()
+    got = {r.labels: r["mean"] for r in ml.few_label_curve(e, "label", "vec_id", "embedding", [3, 12], 2).collect()}
+    for n in (3, 12):
+        each = []
+        for d in range(2):
+            train = few_labels(e, "label", "vec_id", n, str(d)).select("vec_id", F.lit(1).alias("t"))
+            p = ml.centroid_predictions(e.join(train, "vec_id", "left").withColumn("strip", F.coalesce("t", F.lit(0))), "vec_id", "label", "embedding", "strip").where("strip = 0")
+            each.append(A.scores(p, ["strip"], "truth", "pred").first().balanced)
+        assert got[n] == pytest.approx(sum(each) / 2, abs=1e-9)
+
+
 def test_polygon_predicates(spark):
     ring = [(0.0, 0.0), (4.0, 0.0), (4.0, 4.0), (0.0, 4.0), (0.0, 0.0)]
     f = spark.createDataFrame([("sq", ring)], "name string, ring array<struct<x:double,y:double>>")
