@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from granary.plans.staging import stage, unstage
+from granary.plans.staging import stage
 
 
 def _offsets(p: int) -> Column:
@@ -55,21 +55,12 @@ def speckle(grid: DataFrame, code: str) -> DataFrame:
     return grid.join(top, ["r", "c"]).agg(F.avg((F.col(code) != F.col("top")).cast("double")).alias("share"))
 
 
-def component_at(mask: DataFrame, row: int, col: int, max_rounds: int = 1000) -> DataFrame:
-    """Cells of mask that are 4-connected to a seed, by a frontier that moves one step a round."""
-    cells = mask.select("r", "c").distinct()
-    seen = stage(cells.where((F.col("r") == row) & (F.col("c") == col)), "seen")
-    front = seen
-    for _ in range(max_rounds):
-        step = F.explode(F.array(*(F.struct(F.lit(i).alias("dr"), F.lit(j).alias("dc")) for i, j in ((0, 1), (1, 0), (0, -1), (-1, 0)))))
-        nxt = front.select("r", "c", step.alias("o")).select((F.col("r") + F.col("o.dr")).alias("r"), (F.col("c") + F.col("o.dc")).alias("c")).distinct()
-        nxt = stage(nxt.join(cells, ["r", "c"], "left_semi").join(seen, ["r", "c"], "left_anti"), "front")
-        if not nxt.limit(1).count():
-            break
-        grown = stage(seen.union(nxt), "seen")
-        unstage(seen)
-        seen, front = grown, nxt
-    return seen
+def component_at(mask: DataFrame, row: int, col: int) -> DataFrame:
+    """Cells of mask that are 4-connected to a seed; none where the seed is not in mask. However long the way to them is."""
+    from granary.operators.geometry import components
+
+    parts = stage(components(mask.select("r", "c").distinct()), "components")
+    return parts.join(F.broadcast(parts.where((F.col("r") == row) & (F.col("c") == col)).select("component")), "component", "left_semi").select("r", "c")
 
 
 def overlap(a: DataFrame, b: DataFrame) -> DataFrame:

@@ -145,6 +145,15 @@ def test_few_label_curve_against_single_draws(spark):
         assert got[n] == pytest.approx(sum(each) / 2, abs=1e-9)
 
 
+def test_component_reaches_far_cells(spark):
+    """A snake of 1,205 steps, and a cell that is not linked."""
+    snake = [(i, j) for i in range(0, 21, 2) for j in range(100)] + [(i, 99 if i % 4 == 1 else 0) for i in range(1, 20, 2)]
+    snake += [(20, 99 + j) for j in range(1, 97)]
+    mask = spark.createDataFrame([*snake, (40, 40), snake[0]], "r int, c int")
+    assert sorted((r.r, r.c) for r in R.component_at(mask, 0, 0).collect()) == sorted(snake)
+    assert R.component_at(mask, 40, 40).count() == 1 and R.component_at(mask, 50, 50).count() == 0
+
+
 def test_polygon_predicates(spark):
     ring = [(0.0, 0.0), (4.0, 0.0), (4.0, 4.0), (0.0, 4.0), (0.0, 0.0)]
     f = spark.createDataFrame([("sq", ring)], "name string, ring array<struct<x:double,y:double>>")
