@@ -8,15 +8,17 @@ documents share a coordinate with the probability of their weighted Jaccard
 similarity. Bands of coordinates are joined; candidates are verified exactly.
 
 Copies with the same words are folded first, so a group of any size is one
-representative. Within a band's bucket of more than a few members they are
-compared with a leader of the bucket's largest component, drawn anew for each
-bucket and round, and components merge. Where buckets still hold several components, the last round
-compares the pairs across them: all pairs if these are few, else those that
-their rarest shingles leave. Two sets as alike as asked overlap so much that,
-with the shingles of each in order from rare to common, the first one they share
-stands early in both; pairs without such a shingle can't be links and are never
-made; where many share one, a leader stands for its component once more. So no link between buckets' members is lost, while a large group costs a
-few comparisons for each member, alike or not.
+representative. The members of a band's bucket are compared with its most
+central member, the one that meets the most others over all its buckets: the
+text from which a group's copies were made meets more of them than they meet one
+another, so one comparison a member finds nearly every class. What is left are
+pairs across the classes of a bucket, and they are decided exactly: two sets as
+alike as asked overlap so much that, with the shingles of each in order from
+rare to common, the first one they share stands early in both. Only the early
+shingles of sets in a bucket of several classes are joined, and a pair is made
+only if what follows the shared one could still be overlap enough. So no link
+between the members of a bucket is lost, no group's pairs are written, and the
+same steps run at every size.
 
 Defined results: words are runs of letters, digits and underscores in lower
 case; a text of fewer than five words is one shingle; texts without words are
@@ -44,12 +46,6 @@ from granary.plans.staging import stage, unstage
 WORDS, SIMILARITY = 5, 0.8
 #: 25 bands of 5 coordinates: a pair of similarity 0.8 escapes all bands once in 20,000.
 BANDS, ROWS = 25, 5
-#: Rounds of leaders before the pairs that are left are compared, and how many pairs a bucket's row may stand for if all are compared one by one.
-ROUNDS, PAIRS_A_ROW = 2, 3.0
-#: Rounds in which the members of a rare item are compared with its leader only.
-RARE_ROUNDS = 1
-#: Buckets of up to so many rows are compared pair by pair at once.
-SMALL = 4
 WORD = re.compile(r"\w+")
 _SEED = np.uint64(0x2545F4914F6CDD1D)
 
@@ -145,7 +141,7 @@ def _lists(column) -> list[list[str]]:
 
 
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(id, key, bands): a key that equal word sequences share, and a hash for each band."""
+    """(id, key, size, bands): a key that equal word sequences share, the number of shingles, and a hash for each band."""
     for b in slices(batches, "text", 2 << 20):
         raw, lists = b.column("text").to_pylist(), _lists(b.column("text"))
         h, n = word_hashes(lists)
@@ -160,7 +156,8 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t, e, m in zip(raw, ends, n, strict=True):
             keys.append(None if t is None else hashlib.md5(h[e - m : e].tobytes() if m else b"raw" + t.encode("utf-8", "replace")).digest())
         bands = [band[i].view(np.int64).tolist() if n[i] else [] for i in range(len(lists))]
-        yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(keys, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], ["id", "key", "bands"])
+        size = np.where(n >= WORDS, n - WORDS + 1, np.minimum(n, 1))
+        yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(keys, pa.binary()), pa.array(size, pa.int64()), pa.array(bands, pa.list_(pa.int64()))], ["id", "key", "size", "bands"])
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -180,120 +177,92 @@ def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame
     """Staged (src, dst): the pairs (a, b) whose weighted Jaccard similarity is at least `similarity`."""
     left = sets.select(F.col("id").alias("a"), F.col("items").alias("x"))
     right = sets.select(F.col("id").alias("b"), F.col("items").alias("y"))
-    both = pairs.join(left, "a").join(right, "b")
-    n = F.size(F.array_intersect("x", "y"))
-    small, large = F.least(F.size("x"), F.size("y")), F.greatest(F.size("x"), F.size("y"))
-    both = both.where(small >= similarity * large).withColumn("n", n)
+    both = pairs.join(left, "a").join(right, "b").withColumn("n", F.size(F.array_intersect("x", "y")))
     sim = F.col("n") / (F.size("x") + F.size("y") - F.col("n"))
     return stage(both.where(sim >= similarity).select(F.col("a").alias("src"), F.col("b").alias("dst")), "links")
 
 
-def _rare_items(open_rows: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """Staged (rep, item, n, rest): the items by which a set of open_rows may meet one that is alike enough.
+def _led_pairs(reps: DataFrame, similarity: float) -> DataFrame:
+    """Staged (a, b): every member of a bucket with the bucket's most central one, where their sizes admit a link.
 
-    n is the size of the set, rest how many of its items don't precede this one in the order from rare to
-    common. Items that one set alone has come first and match nothing, so only their number is needed.
+    reps: (rep, size, met, buckets), met being how many rows share its buckets.
     """
-    own = stage(sets.join(open_rows.select(F.col("rep").alias("id")).distinct(), "id"), "open-sets")
+    each = reps.select("rep", "size", "met", F.explode("buckets").alias("bucket"))
+    lead = each.groupBy("bucket").agg(F.max_by(F.struct("rep", "size"), F.struct("met", "rep")).alias("lead"))
+    both = each.select("bucket", "rep", "size").join(stage(lead, "leads"), "bucket").where(F.col("rep") != F.col("lead.rep"))
+    fits = F.least("size", "lead.size") >= similarity * F.greatest("size", "lead.size")
+    # A hub leads many members, so the first join of the comparison is on the members' side.
+    return stage(both.where(fits).select(F.col("rep").alias("a"), F.col("lead.rep").alias("b")).distinct(), "pairs")
+
+
+def _open_reps(reps: DataFrame, label: DataFrame) -> DataFrame:
+    """Staged (rep, size, label) of those that share a bucket with a member of another class; classes of one are their own label."""
+    named = reps.join(label, reps["rep"] == label["node"], "left").select("rep", "size", "buckets", F.coalesce("component", "rep").alias("label"))
+    named = stage(named, "labels")
+    each = named.select("rep", "label", F.explode("buckets").alias("bucket"))
+    mixed = stage(each.groupBy("bucket").agg(F.min("label").alias("least"), F.max("label").alias("most")).where("least <> most").select("bucket"), "mixed")
+    found = each.join(mixed, "bucket").select("rep").distinct()
+    return stage(named.drop("buckets").join(found, "rep"), "open")
+
+
+def _rare_pairs(open_reps: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Staged (a, b): the pairs of different classes that may be alike enough by the rarest shingle they share.
+
+    The shingles of each set are put in order from rare to common. Those that one set alone has come first and
+    match nothing, so only their number is needed. `rest` is how many shingles don't precede one: what two sets
+    have in common is no more than the lesser rest at the first that they share.
+    """
+    own = stage(sets.join(open_reps.select(F.col("rep").alias("id"), "label"), "id").select("id", "label", "items"), "open-sets")
     flat = own.select("id", F.explode("items").alias("item"))
     common = stage(flat.groupBy("item").agg(F.count("*").alias("df")).where("df > 1"), "common")
     ranked = flat.join(common, "item").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("df", "item"))).alias("ranked"))
     # A set of n overlaps with its partner in similarity * n items at least, so the first of them is not after place n - similarity * n.
     early = F.size("ranked") - F.ceil(F.col("n") * similarity - 1e-6).cast("int") + 1
-    placed = own.select("id", F.size("items").alias("n")).join(ranked, "id").where(early > 0)
-    placed = placed.select(F.col("id").alias("rep"), "n", F.size("ranked").alias("left"), F.posexplode(F.slice("ranked", 1, early)).alias("k", "of"))
-    out = stage(placed.select("rep", F.col("of.item").alias("item"), "n", (F.col("left") - F.col("k")).alias("rest")), "rare")
+    placed = own.select("id", "label", F.size("items").alias("n")).join(ranked, "id").where(early > 0)
+    placed = placed.select("id", "label", "n", F.size("ranked").alias("left"), F.posexplode(F.slice("ranked", 1, early)).alias("k", "of"))
+    rows = stage(placed.select("id", "label", F.col("of.item").alias("item"), "n", (F.col("left") - F.col("k")).alias("rest")), "rare")
     unstage(own, common)
-    return out
-
-
-def _rare_pairs(rare: DataFrame, label: DataFrame, similarity: float, last: bool) -> DataFrame:
-    """(a, b) of different components that share an item so early in both that they may be alike enough; if not last, only those with each item's leader."""
-    rows = stage(rare.join(label, "rep"), "rare-labels")
-    x = rows
-    if not last:
-        main = rows.groupBy("item", "label").agg(F.count("*").alias("k"), F.max_by(F.struct("rep", "n", "rest"), F.struct("rest", "rep")).alias("lead"))
-        main = main.groupBy("item").agg(F.max_by(F.struct("label", "lead"), F.struct("k", "label")).alias("m"), F.count("*").alias("labels")).where("labels > 1")
-        x = main.select("item", "m.label", "m.lead.*")
-    x = x.select("item", F.col("rep").alias("a"), F.col("label").alias("la"), F.col("n").alias("na"), F.col("rest").alias("ra"))
-    y = rows.select("item", F.col("rep").alias("b"), F.col("label").alias("lb"), F.col("n").alias("nb"), F.col("rest").alias("rb"))
-    least = F.ceil((F.col("na") + F.col("nb")) * (similarity / (1 + similarity)) - 1e-6)
-    apart = F.col("la") < F.col("lb") if last else F.col("la") != F.col("lb")
-    fits = apart & (F.least("ra", "rb") >= least) & (F.least("na", "nb") >= similarity * F.greatest("na", "nb"))
-    return x.join(y, "item").where(fits).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-
-
-def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text", rounds: int = ROUNDS) -> DataFrame:
-    """(id, class_id, kept) of every row of docs: class_id is the least id of those linked to it, kept tells whether it is its own."""
+    share = similarity / (1 + similarity)
+    x = rows.select("item", F.col("id").alias("a"), F.col("label").alias("la"), F.col("n").alias("na"), F.col("rest").alias("ra"))
+    # The smaller of two sets needs at least its own size twice over in what follows.
+    x = x.where(F.col("ra") >= F.ceil(2 * F.col("na") * share - 1e-6))
+    y = rows.select("item", F.col("id").alias("b"), F.col("label").alias("lb"), F.col("n").alias("nb"), F.col("rest").alias("rb"))
+    least = F.ceil((F.col("na") + F.col("nb")) * share - 1e-6)
+    smaller = (F.col("na") < F.col("nb")) | ((F.col("na") == F.col("nb")) & (F.col("a") < F.col("b")))
+    fits = smaller & (F.col("la") != F.col("lb")) & (F.least("ra", "rb") >= least) & (F.col("na") >= similarity * F.col("nb"))
+    pairs = stage(x.join(y, "item").where(fits).select("a", "b").distinct(), "pairs")
+    unstage(rows)
+    return pairs
+
+
+def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, class_id, kept, members) of every row of docs: class_id is the least id of those linked to it, kept tells whether it is its own, members counts the rows of the class."""
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
-    signed = stage(rows.mapInArrow(_sign, f"id {kind}, key binary, bands array<long>"), "signed")
-    reps = stage(signed.where("key is not null and id is not null").groupBy("key").agg(F.min("id").alias("rep"), F.first("bands").alias("bands")), "reps")
-    spread = reps.select("rep", F.explode("bands").alias("bucket"))
-    shared = stage(spread.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket"), "buckets")
-    members = stage(spread.join(shared, "bucket"), "members")
-    wanted = stage(members.select(F.col("rep").alias("id")).distinct(), "wanted")
-    texts = rows.join(wanted.hint("shuffle_hash"), "id", "left_semi").select("id", "text")
+    signed = stage(rows.mapInArrow(_sign, f"id {kind}, key binary, size long, bands array<long>"), "signed")
+    folded = signed.where("key is not null and id is not null").groupBy("key")
+    folded = stage(folded.agg(F.min("id").alias("rep"), F.first("size").alias("size"), F.first("bands").alias("bands"), F.count("*").alias("members")), "folded")
+    spread = folded.select("rep", "size", F.explode("bands").alias("bucket"))
+    shared = stage(spread.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1"), "buckets")
+    reps = spread.join(shared, "bucket").groupBy("rep", "size").agg(F.collect_list("bucket").alias("buckets"), F.sum("n").alias("met"))
+    reps = stage(reps, "reps")  # a rep has BANDS buckets at most
+    texts = rows.join(reps.select(F.col("rep").alias("id")).hint("shuffle_hash"), "id", "left_semi").select("id", "text")
     sets = stage(texts.mapInArrow(_sets, f"id {kind}, items array<long>"), "sets")
 
-    links, rare = None, None
-    label = stage(wanted.select(F.col("id").alias("rep"), F.col("id").alias("label")), "labels")
-    now = stage(members.join(label, "rep").select("bucket", "rep", "label"), "open")
-    for turn in range(rounds + RARE_ROUNDS + 1):
-        last = turn == rounds + RARE_ROUNDS
-        if turn <= rounds:
-            # Pairs across components that a bucket still has, were all compared at once.
-            by_label = stage(now.groupBy("bucket", "label").agg(F.count("*").alias("n")), "by-label")
-            mixed_buckets = by_label.groupBy("bucket").agg(
-                F.sum("n").cast("double").alias("n"), F.sum(F.col("n").cast("double") * F.col("n")).alias("s"), F.count("*").alias("labels"),
-                F.max_by("label", F.struct("n", F.xxhash64("label", "bucket", F.lit(turn)))).alias("main"),
-            ).where("labels > 1")
-            mixed_buckets = stage(mixed_buckets, "mixed")
-            total = mixed_buckets.agg(F.sum("n"), F.sum(F.expr("(n * n - s) / 2"))).first()
-            if not total[0]:
-                break
-            last = total[1] <= PAIRS_A_ROW * total[0]
-            open_rows = stage(now.join(mixed_buckets.select("bucket", "main", (F.col("n") > SMALL).alias("large")), "bucket"), "open")
-            unstage(now, by_label, mixed_buckets)
-        if turn >= rounds and not (turn == rounds and last):
-            if rare is None:
-                rare = _rare_items(open_rows, sets, similarity)
-            pairs = _rare_pairs(rare, label, similarity, last)
-        else:
-            across = open_rows if last else open_rows.where("not large")
-            a = across.select("bucket", F.col("rep").alias("a"), F.col("label").alias("la"))
-            b = across.select("bucket", F.col("rep").alias("b"), F.col("label").alias("lb"))
-            pairs = a.join(b, "bucket").where("la < lb").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-            if not last:
-                # The leader is of the bucket's largest component, so only those outside of it are compared, each with two leaders a round.
-                draw = F.xxhash64("rep", "bucket", F.lit(turn))
-                lead = stage(open_rows.where("large and label = main").groupBy("bucket").agg(F.min_by("rep", draw).alias("lead")), "lead")
-                asked = open_rows.where("large and label <> main").join(lead, "bucket").select("rep", "lead")
-                order = F.xxhash64("rep", "lead", F.lit(turn))
-                two = asked.groupBy("rep").agg(F.min_by("lead", order).alias("x"), F.max_by("lead", order).alias("y"))
-                led = two.select("rep", F.explode(F.array_distinct(F.array("x", "y"))).alias("lead"))
-                pairs = pairs.union(led.select(F.least("rep", "lead").alias("a"), F.greatest("rep", "lead").alias("b")))
-        pairs = stage(pairs.distinct(), "pairs")
-        found = _verified(pairs, sets, similarity)
-        unstage(pairs)
-        links = found if links is None else links.union(found)
-        if last:
-            break
-        parts = stage(connected_components(links), "parts")
-        label = wanted.join(parts, wanted["id"] == parts["node"], "left").select(F.col("id").alias("rep"), F.coalesce("component", "id").alias("label"))
-        label = stage(label, "labels")
-        if turn < rounds:
-            now = stage(open_rows.select("bucket", "rep").join(label, "rep").select("bucket", "rep", "label"), "open")
-            unstage(open_rows)
-    if links is None:
-        named = reps.select("key", F.col("rep").alias("class_id"))
-    else:
-        parts = stage(connected_components(links), "parts")
-        named = reps.select("key", "rep").join(parts, F.col("rep") == F.col("node"), "left").select("key", F.coalesce("component", "rep").alias("class_id"))
-    unstage(members, sets, now)
-    out = signed.select("id", "key").join(stage(named, "named"), "key", "left")
-    out = out.select("id", F.when(F.col("id").isNotNull(), F.coalesce("class_id", "id")).alias("class_id"))
-    return out.select(F.col("id").alias(id_col), "class_id", F.coalesce(F.col("id") == F.col("class_id"), F.lit(False)).alias("kept"))
+    pairs = _led_pairs(reps, similarity)
+    led = _verified(pairs, sets, similarity)
+    open_reps = _open_reps(reps, stage(connected_components(led), "parts"))
+    rare = _rare_pairs(open_reps, sets, similarity)
+    links = led.union(_verified(rare, sets, similarity))
+    parts = stage(connected_components(links), "parts")
+    unstage(sets, reps, shared, pairs, rare)
+    named = folded.join(parts, F.col("rep") == F.col("node"), "left").select("key", F.coalesce("component", "rep").alias("class_id"), "members")
+    named = stage(named, "named")
+    sizes = stage(named.groupBy("class_id").agg(F.sum("members").alias("members")), "sizes")
+    named = named.select("key", "class_id").join(sizes, "class_id")
+    out = signed.select("id", "key").join(stage(named, "classes"), "key", "left")
+    out = out.select("id", F.when(F.col("id").isNotNull(), F.coalesce("class_id", "id")).alias("class_id"), F.coalesce("members", F.lit(1)).alias("members"))
+    return out.select(F.col("id").alias(id_col), "class_id", F.coalesce(F.col("id") == F.col("class_id"), F.lit(False)).alias("kept"), "members")
 
 
 def op6_neardup(spark, sf_dir: str) -> DataFrame:

@@ -85,11 +85,30 @@ def hot_group():
     return docs + [(100 + i, " ".join([line] * 40 + [word() for _ in range(rnd.randrange(20, 60))])) for i in range(60)]
 
 
-@pytest.mark.parametrize("rounds", [0, 1])
-def test_rare_shingles_lose_no_link(spark, rounds):
-    docs = hot_group() if rounds else [*hot_group(), *((1000 + i, t) for i, t in corpus())]
-    got = near_duplicates(spark.createDataFrame(docs, "doc_id long, text string"), rounds=rounds).collect()
-    assert {r.doc_id: r.class_id for r in got} == classes(docs)
+@pytest.mark.parametrize("alone", [False, True])
+def test_rare_shingles_lose_no_link(spark, alone):
+    docs = hot_group() if alone else [*hot_group(), *((1000 + i, t) for i, t in corpus())]
+    got = near_duplicates(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    want = classes(docs)
+    assert {r.doc_id: r.class_id for r in got} == want
+    sizes = Counter(want.values())
+    assert {r.doc_id: r.members for r in got} == {i: sizes[c] for i, c in want.items()}
+
+
+def test_links_that_the_leader_misses(spark):
+    """Two texts alike, both too far from the text that meets the most others, are linked by their rare shingles."""
+    rnd = random.Random(21)
+    word = lambda: "".join(rnd.choice("abcdefgh") for _ in range(6))
+    base = [word() for _ in range(120)]
+    far = list(base)
+    for i in (8, 30, 52, 74, 96):
+        far[i] = word()
+    docs = [(i, " ".join([*base[:117], *(word() for _ in range(3))])) for i in range(40)]
+    docs += [(100 + i, " ".join([*far[:118], word(), word()])) for i in range(6)]
+    got = near_duplicates(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    want = classes(docs)
+    assert len(set(want.values())) == 2
+    assert {r.doc_id: r.class_id for r in got} == want
 
 
 def test_signatures_estimate_weighted_similarity():
