@@ -194,9 +194,49 @@ def half_height_crossing(spark, sf):
     return d.select("user_id", "peak_day", F.round("peak", 6).alias("peak"), F.round("cross_days", 6).alias("cross_days"))
 
 
-@query()
+_SEASONS = """o as (select cast(o_custkey % 5 as bigint) as id, cast(o_orderdate as date) as day, median(o_totalprice) / 500000.0 as v from orders group by 1, 2),
+  g as (select u.id, cast(x as date) as day from (select distinct id from o) u, generate_series(timestamp '1995-01-01', timestamp '2001-07-31', interval 10 day) t(x)),
+  r as (select g.id, g.day, case when a.day = g.day then a.v when date_diff('day', a.day, b.day) <= 30 then a.v + (b.v - a.v) * date_diff('day', a.day, g.day) / date_diff('day', a.day, b.day) end as v
+    from g asof left join o a on g.id = a.id and g.day >= a.day asof left join o b on g.id = b.id and g.day <= b.day)"""
+_PHENOLOGY = f"""with recursive {_SEASONS},
+  n as (select *, row_number() over (partition by id order by day) as i, count(*) over (partition by id) as len from r),
+  k as (select *, case when v is null then i end as gap, case when month(day) >= 11 then 'rabi_' || (year(day) + 1) when month(day) <= 4 then 'rabi_' || year(day) else 'kharif_' || year(day) end as season,
+    lag(v) over w as pv, lead(v) over w as nv, min(case when v is not null then struct_pack(v := v, i := i) end) over (w rows between 18 preceding and 1 preceding) as lo,
+    min(case when v is not null then struct_pack(v := v, i := i) end) over (w rows between 1 following and 18 following) as hi from n window w as (partition by id order by day)),
+  k2 as (select *, coalesce(max(gap) over (partition by id order by day), 0) + 1 as f, coalesce(min(gap) over (partition by id order by day rows between current row and unbounded following), len + 1) - 1 as l from k),
+  top as (select *, row_number() over (partition by id, season order by v desc nulls last, i) as best, min(day) over (partition by id, season) as from_day from k2),
+  p as (select *, case when v is null then 'empty' when coalesce(pv > v, false) or coalesce(nv > v, false) then 'peak outside' when greatest(coalesce(v - lo.v, 0), coalesce(v - hi.v, 0)) < 0.2 then 'flat' end as why from top where best = 1),
+  q as (select *, case when why is null and lo.i > f and v - lo.v >= 0.2 then (lo.v + v) / 2 end as up_to, case when why is null and hi.i < l and v - hi.v >= 0.2 then (hi.v + v) / 2 end as down_to from p),
+  s as (select q.id, q.season, arg_max(epoch(k.day) / 86400 - (k.v - up_to) / (k.v - k.pv) * 10, k.i) as s from q join k on q.id = k.id and k.i <= q.i and k.i > q.lo.i and k.v >= up_to and k.pv < up_to group by 1, 2),
+  e as (select q.id, q.season, arg_min(epoch(k.day) / 86400 + (k.v - down_to) / (k.v - k.nv) * 10, k.i) as e from q join k on q.id = k.id and k.i >= q.i and k.i < q.hi.i and k.v >= down_to and k.nv < down_to group by 1, 2),
+  x as (select q.*, s.s, e.e from q left join s using (id, season) left join e using (id, season)),
+  area as (select x.id, x.season, sum((a.v + a.nv) / 2 * 10) as area from x join k a on a.id = x.id and epoch(a.day) / 86400 >= x.s and epoch(a.day) / 86400 + 10 <= x.e group by 1, 2),
+  m as (select *, row_number() over (partition by id order by from_day) as ord from x where why is null),
+  low as (select a.id, a.ord as oa, b.ord as ob, min(k.v) as low from m a join m b on a.id = b.id and a.ord < b.ord join k on k.id = a.id and k.i between a.i and b.i group by 1, 2, 3),
+  walk(id, ord, up, gone, into_) as (
+    select id, 1::bigint, 1::bigint, null::bigint, null::bigint from m where ord = 1
+    union all
+    select w.id, nx.ord, case when round(least(u.v, nx.v), 3) - low.low < 0.2 and round(u.v, 3) >= round(nx.v, 3) then w.up else nx.ord end,
+      case when round(least(u.v, nx.v), 3) - low.low < 0.2 then case when round(u.v, 3) >= round(nx.v, 3) then nx.ord else w.up end end,
+      case when round(least(u.v, nx.v), 3) - low.low < 0.2 then case when round(u.v, 3) >= round(nx.v, 3) then w.up else nx.ord end end
+    from walk w join m nx on nx.id = w.id and nx.ord = w.ord + 1 join m u on u.id = w.id and u.ord = w.up join low on low.id = w.id and low.oa = w.up and low.ob = nx.ord),
+  taken as (select w.id, g.season, t.season as into_ from walk w join m g on g.id = w.id and g.ord = w.gone join m t on t.id = w.id and t.ord = w.into_)
+  select x.id, x.season, case when ok then x.day end as peak_day, case when ok then round(x.v, 3) end as peak, case when ok then cast(to_timestamp(floor(s) * 86400) at time zone 'UTC' as date) end as start_day,
+    case when ok then cast(to_timestamp(floor(e) * 86400) at time zone 'UTC' as date) end as end_day, case when ok and s is not null then round_even(e - s, 0) end as length_days,
+    case when ok and s is not null and e is not null then round(coalesce(area, 0), 1) end as value_days,
+    case when taken.into_ is not null then 'in ' || taken.into_ when why is not null then why else concat_ws('; ', case when pv is null or nv is null then 'beside gap' end, case when s is null then 'start unseen' end, case when e is null then 'end unseen' end) end as note
+  from (select x.*, t.into_ is null and why is null as ok from x left join taken t using (id, season)) x left join taken using (id, season) left join area using (id, season)"""
+
+
+def seasonal(spark, sf):
+    """(id, day, value): six years of prices on a grid of ten days; some gaps at the smallest size."""
+    o = table(spark, sf, "orders").groupBy((F.col("o_custkey") % 5).alias("id"), F.to_date("o_orderdate").alias("day")).agg((F.median("o_totalprice") / 500000.0).alias("v"))
+    return W.regularise(o, "id", "day", "v", "1995-01-01", "2001-07-31", 10, 30)
+
+
+@query(_PHENOLOGY)
 def phenology(spark, sf):
-    return W.phenology(regular(spark, sf), "user_id", "day", "value", 2024, 2024, 2)
+    return W.phenology(seasonal(spark, sf), "id", "day", "value", 10)
 
 
 @query("""with a as (select event_id, user_id, ts from events where event_type = 'purchase'), b as (select event_id as r_event_id, user_id, ts as rt, value as r_value from events where event_type = 'view'),

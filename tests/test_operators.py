@@ -69,13 +69,40 @@ def test_savgol_fits_polynomials_and_leaves_short_runs(spark):
     assert all(abs(got[i] - f(i)) < 1e-9 for i in range(9)) and got[9] is None and (got[10], got[11]) == (3.0, 7.0)
 
 
+def grid_series(spark, values, start=dt.date(2024, 11, 1)):
+    return spark.createDataFrame([("f", start + dt.timedelta(days=5 * i), None if v is None else float(v)) for i, v in enumerate(values)], "k string, d date, v double")
+
+
 def test_phenology_of_one_bell(spark):
     x = np.arange(0, 360, 5)
-    v = 0.1 + 0.7 * np.exp(-(((x - 100) / 30.0) ** 2))
-    s = spark.createDataFrame([("f", dt.date(2024, 11, 1) + dt.timedelta(days=int(n)), float(y)) for n, y in zip(x, v)], "k string, d date, v double")
-    rabi, kharif = sorted(W.phenology(s, "k", "d", "v", 2025, 2025).collect(), key=lambda r: r.season, reverse=True)
+    v = 0.1 + 0.7 * np.exp(-(((x - 100) / 30.0) ** 2)) + 0.02 * np.exp(-x / 10.0)
+    assert W.phenology(grid_series(spark, v[2:]), "k", "d", "v").where("season = 'rabi_2025'").first().note == ""
+    assert W.phenology(grid_series(spark, v[10:]), "k", "d", "v").where("season = 'rabi_2025'").first().note == "start unseen"  # its base is at the edge
+    rabi, kharif = sorted(W.phenology(grid_series(spark, v), "k", "d", "v").collect(), key=lambda r: r.season, reverse=True)
     assert rabi.peak == pytest.approx(0.8) and rabi.note == "" and 45 <= rabi.length_days <= 55 and rabi.value_days > 25
-    assert kharif.peak is None or kharif.note
+    assert kharif.peak is None and kharif.note == "peak outside"
+
+
+def test_phenology_beside_gaps(spark):
+    """A base that a gap parts from the peak, or that lies at the edge of the peak's run, gives no start."""
+    up = [0.1, 0.1, None, None, 0.35, 0.45, 0.6, 0.8, 0.7, 0.5, 0.3, 0.15, 0.1, 0.12]
+    r = W.phenology(grid_series(spark, up), "k", "d", "v").first()
+    assert (r.start_day, r.note) == (None, "start unseen") and r.end_day is not None and r.length_days is None
+    r = W.phenology(grid_series(spark, [0.1, 0.2, 0.8, None, 0.1]), "k", "d", "v").first()
+    assert r.note == "beside gap; start unseen; end unseen"
+    assert W.phenology(grid_series(spark, [0.4, 0.45, 0.5, 0.45]), "k", "d", "v").first().note == "flat"
+    assert W.phenology(grid_series(spark, [None, None]), "k", "d", "v").first().note == "empty"
+
+
+def test_peaks_without_a_drop_between_them_are_one(spark):
+    """One crop over the turn of April: two seasons have its shoulder, the later and higher one keeps it."""
+    x = np.arange(0, 420, 5)
+    one = 0.1 + 0.6 * np.exp(-(((x - 160) / 25.0) ** 2)) + 0.65 * np.exp(-(((x - 205) / 20.0) ** 2))
+    got = {r.season: r for r in W.phenology(grid_series(spark, one), "k", "d", "v").collect()}
+    assert got["rabi_2025"].note == "in kharif_2025" and got["rabi_2025"].peak is None and got["kharif_2025"].peak > 0.7
+    two = 0.1 + 0.02 * np.exp(-x / 10.0) + 0.02 * np.exp((x - 415) / 10.0) + 0.6 * np.exp(-(((x - 120) / 20.0) ** 2)) + 0.65 * np.exp(-(((x - 270) / 20.0) ** 2))
+    got = {r.season: r for r in W.phenology(grid_series(spark, two), "k", "d", "v").collect()}
+    assert got["rabi_2025"].note == "" and got["kharif_2025"].note == ""
 
 
 def test_nearest_join_ties_and_tolerance(spark):
