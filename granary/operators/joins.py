@@ -13,14 +13,17 @@ def asof_nearest(left: DataFrame, right: DataFrame, by: str, time: str, toleranc
 
     Times are cut into cells of the tolerance: a left row meets the right rows of
     its own and the two neighbouring cells, so no entity's rows are all paired.
+    Left rows that repeat are counted first and come out as often as they came;
+    those without a right row near enough are left out. Columns of any type pass.
     """
     cell = lambda c: F.floor(F.unix_micros(F.col(c).cast("timestamp")) / (tolerance_s * 1_000_000)).cast("long")
-    l = left.withColumn("_row", F.struct(*left.columns)).withColumn("_cell", F.explode(F.array(*(cell(time) + d for d in (-1, 0, 1)))))
+    once = left.groupBy(F.to_json(F.struct(*left.columns)).alias("_key")).agg(F.first(F.struct(*left.columns)).alias("_row"), F.count("*").cast("int").alias("_times"))
+    l = once.select("_key", "_row", "_times", F.col(f"_row.{by}").alias("_lby"), F.col(f"_row.{time}").alias("_lt")).withColumn("_cell", F.explode(F.array(*(cell("_lt") + d for d in (-1, 0, 1)))))
     r = right.select(F.col(by).alias("_by"), F.col(time).alias("_t"), *(F.col(c).alias(f"r_{c}") for c in right_cols), cell(time).alias("_c"))
-    gap = F.abs(F.unix_micros(F.col(time).cast("timestamp")) - F.unix_micros(F.col("_t").cast("timestamp")))
-    met = l.join(r, (F.col(by) == F.col("_by")) & (F.col("_cell") == F.col("_c"))).where(gap <= tolerance_s * 1_000_000)
-    best = met.groupBy("_row").agg(F.min(F.struct(gap.alias("gap"), F.col("_t").alias("r_time"), *(f"r_{c}" for c in right_cols))).alias("b"))
-    return best.select("_row.*", F.col("b.r_time").alias("r_time"), *(F.col(f"b.r_{c}") for c in right_cols))
+    gap = F.abs(F.unix_micros(F.col("_lt").cast("timestamp")) - F.unix_micros(F.col("_t").cast("timestamp")))
+    met = l.join(r, (F.col("_lby") == F.col("_by")) & (F.col("_cell") == F.col("_c"))).where(gap <= tolerance_s * 1_000_000)
+    best = met.groupBy("_key").agg(F.first("_row").alias("_row"), F.first("_times").alias("_times"), F.min(F.struct(gap.alias("gap"), F.col("_t").alias("r_time"), *(f"r_{c}" for c in right_cols))).alias("b"))
+    return best.withColumn("_times", F.explode(F.sequence(F.lit(1), F.col("_times")))).select("_row.*", F.col("b.r_time").alias("r_time"), *(F.col(f"b.r_{c}") for c in right_cols))
 
 
 def near_pairs(points: DataFrame, id_col: str, x: str, y: str, limit: float) -> DataFrame:
@@ -57,15 +60,25 @@ def edge_distance(px: Column, py: Column, ring: Column) -> Column:
     return F.array_min(F.transform(edges, one))
 
 
-def pixels_in_polygons(pixels: DataFrame, fields: DataFrame, x: str, y: str, buffer: float = 0.0) -> DataFrame:
-    """(pixel columns, name) of the centres inside a polygon and more than buffer from its edge; of overlapping fields the last by name wins."""
-    xs, ys = F.transform("ring", lambda p: p["x"]), F.transform("ring", lambda p: p["y"])
-    f = fields.select("name", "ring", F.array_min(xs).alias("x0"), F.array_max(xs).alias("x1"), F.array_min(ys).alias("y0"), F.array_max(ys).alias("y1"))
-    met = pixels.join(f, (F.col(x) >= F.col("x0")) & (F.col(x) <= F.col("x1")) & (F.col(y) >= F.col("y0")) & (F.col(y) <= F.col("y1")))
-    met = met.where(crossing_inside(F.col(x), F.col(y), F.col("ring")))
-    if buffer > 0:
-        met = met.where(edge_distance(F.col(x), F.col(y), F.col("ring")) > buffer)
-    return met.groupBy(*pixels.columns).agg(F.max("name").alias("name"))
+def pixels_in_polygons(pixels: DataFrame, fields: DataFrame, x: str, y: str, buffer: float = 0.0, tile: float = 64.0) -> DataFrame:
+    """(pixel columns, name) of the centres inside a polygon and more than buffer from its edge; of overlapping fields the last by name wins.
+
+    Fields are gathered by the tiles that their boxes meet, and a pixel looks
+    only at the fields of its tile: one equi-join, and each pixel row is kept
+    apart however often it repeats. A tile should hold some tens of fields.
+    """
+    span = lambda axis: F.transform("ring", lambda p: F.floor(p[axis] / tile))
+    f = fields.where(F.size("ring") > 0).select("name", "ring", F.explode(F.sequence(F.array_min(span("x")), F.array_max(span("x")))).alias("_tx"), span("y").alias("_ys"))
+    f = f.select("name", "ring", "_tx", F.explode(F.sequence(F.array_min("_ys"), F.array_max("_ys"))).alias("_ty"))
+    of_tile = f.groupBy("_tx", "_ty").agg(F.collect_list(F.struct("name", "ring")).alias("_fields"))
+    met = pixels.withColumn("_tx", F.floor(F.col(x) / tile)).withColumn("_ty", F.floor(F.col(y) / tile)).join(of_tile, ["_tx", "_ty"])
+
+    def holds(field: Column) -> Column:
+        inside = crossing_inside(F.col(x), F.col(y), field["ring"])
+        return inside & (edge_distance(F.col(x), F.col(y), field["ring"]) > buffer) if buffer > 0 else inside
+
+    met = met.withColumn("name", F.array_max(F.transform(F.filter("_fields", holds), lambda field: field["name"])))
+    return met.where(F.col("name").isNotNull()).select(*pixels.columns, "name")
 
 
 def ring_area(ring: Column) -> Column:

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
+from pyspark.ml.classification import GBTClassifier, LogisticRegression, MultilayerPerceptronClassifier, OneVsRest, RandomForestClassifier
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.evaluation import ClusteringEvaluator
-from pyspark.ml.functions import array_to_vector
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -27,32 +27,96 @@ def centroid_predictions(df: DataFrame, key: str, cls: str, vec: str, strip: str
     rest = held.crossJoin(whole).join(part, [strip, cls, "d"], "left").withColumn("n", F.col("tn") - F.coalesce("n", F.lit(0)))
     mean = rest.where("n > 0").select(strip, F.col(cls).alias("pred"), "d", ((F.col("ts") - F.coalesce("s", F.lit(0.0))) / F.col("n")).alias("m"))
     mean = mean.groupBy(strip, "pred").agg(F.transform(F.sort_array(F.collect_list(F.struct("d", "m"))), lambda e: e["m"]).alias("mean"))
-    dist = F.aggregate(F.zip_with(F.col(vec).cast("array<double>"), "mean", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, v: s + v)
-    near = df.join(F.broadcast(mean), strip).groupBy(key, strip, F.col(cls).alias("truth")).agg(F.min(F.struct(F.round(dist, 9).alias("dist"), "pred")).alias("b"))
-    return near.select(key, strip, "truth", "b.pred")
+    model = mean.groupBy(strip).agg(F.collect_list(F.struct("pred", "mean")).alias("model"))  # one row a strip, one entry a class
+    dist = lambda m: F.aggregate(F.zip_with(F.col(vec).cast("array<double>"), m["mean"], lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, v: s + v)
+    near = F.array_min(F.transform("model", lambda m: F.struct(F.round(dist(m), 9).alias("dist"), m["pred"].alias("pred"))))
+    return df.join(model, strip).select(key, strip, F.col(cls).alias("truth"), near["pred"].alias("pred"))
 
 
-def cross_validate(df: DataFrame, cls: str, strip: str, estimator, strips: list) -> DataFrame:
-    """Out-of-fold predictions of an ML estimator over the strips."""
+def cross_validate(df: DataFrame, cls: str, strip: str, estimator, strips: list, usable=None) -> DataFrame:
+    """(strip, truth, pred): out-of-fold predictions over the strips.
+
+    estimator: of Spark ML, or a function that gives one for so many training
+    rows. usable: which rows may train; all are predicted.
+    """
     out = None
     for s in strips:
         train = df.where(F.col(strip) != s)
-        train = train.join(F.broadcast(class_weights(train, cls)), cls)
-        p = estimator.fit(train).transform(df.where(F.col(strip) == s))
+        train = train if usable is None else train.where(usable)
+        p = _fitted(train, cls, estimator).transform(df.where(F.col(strip) == s))
         p = p.select(F.col(strip).alias("strip"), F.col(cls).alias("truth"), F.col("prediction").cast("int").alias("pred"))
         out = p if out is None else out.union(p)
     return out
 
 
-def logistic(c: float = 1.0, n: int = 1) -> LogisticRegression:
-    """Balanced multinomial logistic regression; regParam is 1 / (C x n)."""
-    return LogisticRegression(labelCol="label", weightCol="weight", family="multinomial", regParam=1.0 / (c * max(1, n)), maxIter=60)
+def _fitted(train: DataFrame, cls: str, estimator):
+    """The estimator's model of the training rows, classes weighed alike."""
+    train = train.join(F.broadcast(class_weights(train, cls)), cls)
+    return (estimator(train.count()) if callable(estimator) else estimator).fit(train)
+
+
+def logistic(c: float = 1.0):
+    """Balanced multinomial logistic regression for so many rows: the penalty's weight is 1 / (C x rows)."""
+    return lambda n: LogisticRegression(labelCol="label", weightCol="weight", family="multinomial", regParam=1.0 / (c * max(1, n)), maxIter=60)
 
 
 def forest(trees: int = 60) -> RandomForestClassifier:
     return RandomForestClassifier(labelCol="label", weightCol="weight", numTrees=trees, minInstancesPerNode=2, seed=7)
 
 
+def boosting(rounds: int = 200) -> OneVsRest:
+    """Gradient boosting of shallow trees, one class against the rest each."""
+    return OneVsRest(labelCol="label", weightCol="weight", classifier=GBTClassifier(labelCol="label", weightCol="weight", maxIter=rounds, maxDepth=2, stepSize=0.05, subsamplingRate=0.8, seed=7))
+
+
+def perceptron(layers: list[int]) -> MultilayerPerceptronClassifier:
+    """A dense network with sigmoid layers."""
+    return MultilayerPerceptronClassifier(labelCol="label", layers=layers, maxIter=200, seed=7)
+
+
+def parameter_count(layers: list[int]) -> int:
+    """Weights and biases of dense layers of these widths."""
+    return sum((a + 1) * b for a, b in zip(layers, layers[1:], strict=False))
+
+
+def nested_cross_validate(df: DataFrame, cls: str, strip: str, candidates: dict, strips: list) -> DataFrame:
+    """(strip, truth, pred, chosen): each strip is predicted by the candidate that does best across the strips left, by balanced accuracy, the first on ties."""
+    out, df = None, df.persist()
+    for s in strips:
+        rest, best = [x for x in strips if x != s], (-1.0, None)
+        for name, estimator in candidates.items():
+            p = cross_validate(df.where(F.col(strip) != s), cls, strip, estimator, rest).withColumn("all", F.lit(1))
+            got = scores(p, ["all"], "truth", "pred").first()["balanced"]
+            best = max(best, (got, name), key=lambda x: x[0])
+        p = _fitted(df.where(F.col(strip) != s), cls, candidates[best[1]]).transform(df.where(F.col(strip) == s))
+        p = p.select(F.col(strip).alias("strip"), F.col(cls).alias("truth"), F.col("prediction").cast("int").alias("pred"), F.lit(best[1]).alias("chosen"))
+        out = p if out is None else out.union(p)
+    return out
+
+
+def importance(df: DataFrame, cls: str, estimator, names: list[str] | None = None) -> DataFrame:
+    """(feature, importance) of a forest, or the mean size of a logistic model's weights, the largest first."""
+    model = _fitted(df, cls, estimator)
+    got = model.featureImportances.toArray() if hasattr(model, "featureImportances") else abs(model.coefficientMatrix.toArray()).mean(axis=0)
+    names = names or [f"f{i}" for i in range(len(got))]
+    return df.sparkSession.createDataFrame([(n, float(x)) for n, x in zip(names, got, strict=True)], "feature string, importance double").orderBy(F.desc("importance"), "feature")
+
+
+def label_ablation(df: DataFrame, cls: str, strip: str, estimator, strips: list, sure) -> DataFrame:
+    """(training, n, accuracy, balanced): all labels against the sure ones as training rows, both scored on all rows."""
+    out = None
+    for name, usable in (("all", None), ("sure", sure)):
+        one = scores(cross_validate(df, cls, strip, estimator, strips, usable).withColumn("training", F.lit(name)), ["training"], "truth", "pred")
+        out = one if out is None else out.union(one)
+    return out
+
+
+def scored_blocks(pixels: DataFrame, model, block: str, classes: int) -> DataFrame:
+    """pixels with `probs` of a fitted model; blocks stay together, so a writer partitioned by block needs no further shuffle."""
+    out = model.transform(pixels.repartition(block))
+    return out.withColumn("probs", F.slice(vector_to_array("probability"), 1, classes)).drop("probability", "rawPrediction")
+
+
 def best_kmeans(df: DataFrame, ks: range, seeds: int = 3) -> DataFrame:
     """(k, cost, silhouette) of the best of some seeds for each k; squared Euclidean silhouette."""
     spark, rows = df.sparkSession, []

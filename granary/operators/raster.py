@@ -69,6 +69,13 @@ def overlap(a: DataFrame, b: DataFrame) -> DataFrame:
     return both.agg((F.count(F.when(F.col("a").isNotNull() & F.col("b").isNotNull(), 1)) / F.count("*")).alias("iou"))
 
 
+def overlap_curve(grid: DataFrame, value: str, inside: str, thresholds: list[float]) -> DataFrame:
+    """(threshold, iou) of the cells above each threshold with those inside, in one pass over the grid."""
+    at = grid.select(F.explode(F.array(*map(F.lit, thresholds))).alias("threshold"), F.col(value).alias("v"), F.col(inside).alias("i"))
+    a, b = F.col("v") > F.col("threshold"), F.col("i")
+    return at.groupBy("threshold").agg(F.try_divide(F.count_if(a & b), F.count_if(a | b)).alias("iou"))
+
+
 def flood(cube: DataFrame, value: str, reference: DataFrame, threshold: float, drop: float = 3.0) -> DataFrame:
     """cube (r, c, day, value) with water, flooded and dark_before, against a reference (r, c, ref)."""
     d = cube.join(reference, ["r", "c"])

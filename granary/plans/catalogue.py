@@ -537,3 +537,6 @@ def grown_field(spark, sf):
 def visiting_tours(spark, sf):
     n = table(spark, sf, "nation").withColumn("x", (F.col("n_nationkey") * 7 % 25).cast("double")).withColumn("y", (F.col("n_nationkey") * 11 % 23).cast("double"))
     return G.tours(n, "n_regionkey", "n_nationkey", "x", "y")
+
+
+from granary.plans import observations  # noqa: E402,F401  registers further queries

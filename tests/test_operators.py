@@ -214,3 +214,30 @@ def test_stream_windows(spark, tmp_path):
     q = windowed_means(s, "t", "k", "v").writeStream.format("memory").queryName("w").outputMode("complete").trigger(availableNow=True).start()
     q.awaitTermination(60)
     assert spark.table("w").agg(F.sum("n")).first()[0] == 12
+
+
+def test_repeated_rows_are_kept_apart(spark):
+    t = dt.datetime(2025, 1, 5)
+    left = spark.createDataFrame([("a", t, {"k": 1}), ("a", t, {"k": 1}), ("a", t, {"k": 2})], "by string, t timestamp_ntz, m map<string,int>")
+    right = spark.createDataFrame([("a", t, 7), ("a", t, 7)], "by string, t timestamp_ntz, v int")
+    assert [r.r_v for r in J.asof_nearest(left, right, "by", "t", 60, ["v"]).collect()] == [7, 7, 7]
+    ring = [(0.0, 0.0), (200.0, 0.0), (200.0, 200.0), (0.0, 200.0), (0.0, 0.0)]
+    f = spark.createDataFrame([("sq", ring), ("zz", ring)], "name string, ring array<struct<x:double,y:double>>")
+    px = spark.createDataFrame([(2.0, 2.0), (2.0, 2.0), (150.0, 150.0), (-1.0, 3.0)], "x double, y double")
+    assert [r["name"] for r in J.pixels_in_polygons(px, f, "x", "y").collect()] == ["zz"] * 3
+    e = spark.createDataFrame([(1, 0, 0, [0.0]), (1, 0, 0, [0.1]), (2, 1, 1, [5.0]), (3, 0, 1, [0.2]), (4, 1, 0, [5.1])], "id int, label int, strip int, v array<double>")
+    assert ml.centroid_predictions(e, "id", "label", "v", "strip").where("truth = pred").count() == 5
+
+
+def test_models_on_parted_classes(spark):
+    rng = np.random.default_rng(2)
+    rows = [(i, i % 3, i % 4, (rng.normal(0, 0.3, 4) + np.eye(3, 4)[i % 3] * 4).tolist()) for i in range(96)]
+    d = ml.vectors(spark.createDataFrame(rows, "id int, label int, strip int, v array<double>"), "v")
+    for estimator in (ml.logistic(), ml.boosting(3), ml.perceptron([4, 6, 3])):
+        p = ml.cross_validate(d, "label", "strip", estimator, [0, 1])
+        assert p.where("truth = pred").count() > 0.9 * p.count()
+    chosen = ml.nested_cross_validate(d, "label", "strip", {"strong": ml.logistic(1e-6), "weak": ml.logistic(10.0)}, [0, 1, 2])
+    assert chosen.where("truth = pred").count() > 0.9 * chosen.count()
+    assert {r.feature for r in ml.importance(d, "label", ml.forest(10)).limit(3).collect()} == {"f0", "f1", "f2"}
+    assert {r.training for r in ml.label_ablation(d, "label", "strip", ml.logistic(), [0, 1], F.col("id") % 2 == 0).collect()} == {"all", "sure"}
+    assert ml.parameter_count([16, 64, 64, 3]) == 5443
