@@ -1,7 +1,10 @@
 """Quality classifier on supervised subword embeddings (operator 2).
 
 A document is the average of learned vectors: one for each hashed word and one
-for each hashed character 3-, 4- and 5-gram of its words. A softmax over the
+for each hashed character 3-, 4- and 5-gram of its words. Before, tokenising
+puts the token REPEAT after each word that repeats the one before it, a usual
+rule since averages can't tell order; the token has its word and n-grams like
+any other. A softmax over the
 average tells the classes; vectors and softmax are trained together by
 stochastic gradient descent in numpy. As both layers are linear, a trained
 model folds to one number for each hash bucket, so scoring is a gather over
@@ -29,8 +32,8 @@ from granary.llm.labelled import labelled_sample, remainder
 PER_CLASS = 1_500
 BUCKETS, DIM, EPOCHS, RATE = 1 << 17, 16, 8, 0.5
 GRAMS = (3, 4, 5)
-#: Marks for each word that repeats its predecessor, and their hash.
-AGAIN, AGAIN_MARK = 6, np.uint64(0xA5A5A5)
+#: The token that stands for a repeated word.
+REPEAT = "xxwrep"
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -40,14 +43,20 @@ def _mixed(h: np.ndarray) -> np.ndarray:
 
 
 def hashes(text: str) -> np.ndarray:
-    """Bucket numbers of the words and character n-grams of one text, with repeats.
+    """Bucket numbers of one text's tokens, repeats of words marked."""
+    found, again = _hashes(text)
+    return np.concatenate([found, np.tile(_hashes(REPEAT)[0], again)]) if again else found
+
+
+def _hashes(text: str) -> tuple[np.ndarray, int]:
+    """Bucket numbers of the words and character n-grams of one text, with repeats, and how many words repeat the one before.
 
     Words are runs of bytes between white space; n-grams run over the bytes of a
     word with a mark at either end, so that they don't cross words.
     """
     raw = np.frombuffer(f" {' '.join(text.split())} ".encode("utf-8", "replace"), np.uint8)
     if len(raw) < 3:
-        return np.empty(0, np.int64)
+        return np.empty(0, np.int64), 0
     space = raw == 32
     b = raw.astype(np.uint64) + np.uint64(1)
     starts = np.flatnonzero(space)[:-1]
@@ -56,9 +65,8 @@ def hashes(text: str) -> np.ndarray:
     with np.errstate(over="ignore"):
         powers = _mixed((place.astype(np.uint64) + np.uint64(7)) * _MIX)
         words = _mixed(np.add.reduceat((b * powers)[:-1], starts))
-        # A word that repeats the one before it shows in marks of its own, as averages can't tell order.
         again = int((words[1:] == words[:-1]).sum())
-        out = [words ^ np.uint64(1), np.full(AGAIN * again, AGAIN_MARK, np.uint64)]
+        out = [words ^ np.uint64(1)]
         inner = np.cumsum(space)
         h = b
         for n in range(2, max(GRAMS) + 1):
@@ -69,7 +77,7 @@ def hashes(text: str) -> np.ndarray:
                 # A blank may stand at the ends of an n-gram only.
                 ok = inner[n - 2 :][: len(h)] - inner[: len(h)] == 0
                 out.append(_mixed(h[ok] * _MIX + np.uint64(n)))
-    return (np.concatenate(out) % np.uint64(BUCKETS)).astype(np.int64)
+    return (np.concatenate(out) % np.uint64(BUCKETS)).astype(np.int64), again
 
 
 def counted(text: str) -> tuple[np.ndarray, np.ndarray]:

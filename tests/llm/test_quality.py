@@ -2,7 +2,7 @@ import random
 
 import numpy as np
 
-from granary.llm.quality import BUCKETS, DIM, Model, counted, hashes, quality
+from granary.llm.quality import BUCKETS, DIM, GRAMS, REPEAT, Model, counted, hashes, quality
 
 
 def test_hashes_are_of_words_and_their_grams():
@@ -14,8 +14,34 @@ def test_hashes_are_of_words_and_their_grams():
     assert sorted(both) == sorted([*one, *one, *hashes("xyz")])
 
 
-def test_repeats_are_marked():
-    assert len(hashes("abcd abcd")) == 2 * 10 + 6
+def test_a_repeated_word_has_a_token_of_its_own():
+    assert sorted(hashes("abcd abcd abcd xyz")) == sorted([*hashes("abcd"), *hashes("abcd"), *hashes("abcd"), *hashes("xyz"), *hashes(REPEAT), *hashes(REPEAT)])
+
+
+def slow_features(text):
+    """Words, the n-grams that blanks bound, and the token after each repeat, one by one."""
+    words, out = text.split(), []
+    tokens = [t for i, w in enumerate(words) for t in ([w, REPEAT] if i and words[i - 1] == w else [w])]
+    for t in tokens:
+        raw = b" " + t.encode() + b" "
+        out += [t] + [raw[i : i + n] for n in GRAMS for i in range(len(raw) - n + 1)]
+    return out
+
+
+def test_features_are_counted_as_one_by_one():
+    rnd = random.Random(6)
+    for _ in range(60):
+        text = " ".join(rnd.choice(["a", "é", "word", "grüße", "a", "longerword"]) for _ in range(rnd.randrange(0, 12)))
+        want = slow_features(text)
+        got = hashes(text)
+        assert len(got) == len(want) and len(set(got)) == len(set(want))
+
+
+def test_long_texts_are_read_whole():
+    """What stands at the very end of a long text still moves its score."""
+    m = Model(np.random.default_rng(1).normal(size=(BUCKETS, DIM)).astype("f4"), np.eye(2, DIM, dtype="f4"), np.zeros(2, "f4"))
+    body = "alpha beta " * 200_000
+    assert m.score(body + "omega") != m.score(body + "gamma")
 
 
 def test_folding_is_exact():
