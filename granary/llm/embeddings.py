@@ -9,11 +9,15 @@ lines a table has follows the number of vectors, so that the colliding pairs of
 unlike vectors stay in proportion to it; how many tables there are follows from
 the count, so that a pair at the threshold reaches it with probability RECALL.
 
+The number of tables is fitted so that COUNT collisions reach the recall; the
+count that a pair must then have is calibrated again from the tables there are.
+
 Equal vectors are folded first and count with their number. Defined results:
 vectors that are null, empty, zero or hold null or non-finite components link
 with nothing; vectors of different lengths are compared within their length
-only; rows that share an id are one vector (the greatest); an empty table gives
-none. Further columns are not read.
+only; rows that share an id are vectors of their own, each compared; a null id
+links too but names no component, and its row is never kept; an empty table
+gives none. Further columns are not read.
 """
 
 from __future__ import annotations
@@ -32,7 +36,7 @@ from granary.plans.staging import stage, unstage
 COSINE, RECALL = 0.9, 0.999
 #: Width of a cell and half-width of a window, in standard deviations of an unrelated vector's projection.
 CELL, WINDOW = 2.4, 1.0
-#: Tables in which a pair must collide to be verified.
+#: Collisions that the tables are fitted for.
 COUNT = 2
 SEED = 20_240_601
 
@@ -60,6 +64,17 @@ def plan(n: int, cosine: float = COSINE, recall: float = RECALL, count: int = CO
     return lines, tables
 
 
+def calibrated(tables: int, p: float, recall: float = RECALL) -> int:
+    """The most collisions that a pair which collides in each table with chance p reaches with probability `recall`."""
+    missed, count = 0.0, 0
+    while count < tables:
+        missed += math.comb(tables, count) * p**count * (1 - p) ** (tables - count)
+        if missed > 1 - recall:
+            break
+        count += 1
+    return max(1, count)
+
+
 def _unit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(id, dim, unit binary): unit vectors in double precision; null where a vector links with nothing."""
     for b in batches:
@@ -134,33 +149,38 @@ def _cosines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def near_vectors(table: DataFrame, cosine: float = COSINE, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
-    """(id, n_links, component_id, kept) of every row of table."""
+    """(id, n_links, component_id, kept) of every row of table.
+
+    A node is a distinct vector; its number is given where the folded table is
+    written, so that a lost executor cannot change it.
+    """
     rows = table.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("v"))
-    units = rows.mapInArrow(_unit, "id long, dim int, unit binary").where("unit is not null and id is not null")
-    units = units.groupBy("id").agg(F.max(F.struct("dim", "unit")).alias("u")).select("id", "u.*")
-    units = stage(units, "units")
-    folded = stage(units.groupBy("dim", "unit").agg(F.min("id").alias("rep"), F.count("*").alias("n")), "folded")
+    units = stage(rows.mapInArrow(_unit, "id long, dim int, unit binary"), "units")
+    folded = units.where("unit is not null").groupBy("dim", "unit").agg(F.min("id").alias("rep"), F.count("*").alias("n"))
+    folded = stage(folded.withColumn("node", F.monotonically_increasing_id()), "folded")
     lines, tables = plan(folded.count(), cosine)
-    keys = folded.select(F.col("rep").alias("id"), "dim", "unit").mapInArrow(_project(lines, tables), "cell long, p float, id long")
+    cell, window = collide(cosine)
+    count = calibrated(tables, cell**lines * window)
+    keys = folded.select(F.col("node").alias("id"), "dim", "unit").mapInArrow(_project(lines, tables), "cell long, p float, id long")
     sorted_keys = keys.repartition("cell").sortWithinPartitions("cell", "p")
     pairs = sorted_keys.mapInArrow(_windows, "a long, b long").where("a <> b")
-    pairs = stage(pairs.groupBy("a", "b").agg(F.count("*").alias("n")).where(F.col("n") >= COUNT).select("a", "b"), "vec-pairs")
-    x, y = folded.select(F.col("rep").alias("a"), F.col("unit").alias("x")), folded.select(F.col("rep").alias("b"), F.col("unit").alias("y"))
+    pairs = stage(pairs.groupBy("a", "b").agg(F.count("*").alias("n")).where(F.col("n") >= count).select("a", "b"), "vec-pairs")
+    x, y = folded.select(F.col("node").alias("a"), F.col("unit").alias("x")), folded.select(F.col("node").alias("b"), F.col("unit").alias("y"))
     links = pairs.join(x, "a").join(y, "b").mapInArrow(_cosines, "a long, b long, cosine double").where(F.col("cosine") >= cosine)
     links = stage(links.select("a", "b"), "vec-links")
     both = links.union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    sizes = folded.select(F.col("rep").alias("b"), "n")
+    sizes = folded.select(F.col("node").alias("b"), "n")
     degree = stage(both.join(sizes, "b").groupBy("a").agg(F.sum("n").alias("linked")), "degree")
-    parts = stage(connected_components(links, "a", "b"), "parts")
-    classes = folded.join(degree, F.col("rep") == F.col("a"), "left").join(parts, F.col("rep") == F.col("node"), "left")
-    classes = classes.select("dim", "unit", (F.coalesce("linked", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
-    named = stage(units.join(stage(classes, "classes"), ["dim", "unit"]).select("id", "n_links", "component_id"), "named")
-    unstage(pairs)
-    out = rows.select("id").join(named, "id", "left")
-    return out.select(
-        F.col("id").alias(id_col), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "id").alias("component_id"),
-        F.coalesce(F.coalesce("component_id", "id") == F.col("id"), F.lit(False)).alias("kept"),
-    )
+    parts = stage(connected_components(links, "a", "b").withColumnRenamed("node", "member"), "parts")
+    known = folded.join(degree, F.col("node") == F.col("a"), "left").join(parts, F.col("node") == F.col("member"), "left")
+    known = stage(known.select("dim", "unit", "rep", (F.coalesce("linked", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("component", "node").alias("set")), "known")
+    least = known.groupBy("set").agg(F.min("rep").alias("component_id"))
+    classes = stage(known.join(stage(least, "least"), "set").select("dim", "unit", "n_links", "component_id"), "classes")
+    linked = units.where("unit is not null").join(classes, ["dim", "unit"]).select("id", "n_links", "component_id")
+    alone = units.where("unit is null").select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))
+    unstage(pairs, folded, known)
+    out = linked.select("id", F.col("n_links").cast("long").alias("n_links"), "component_id").union(alone)
+    return out.select(F.col("id").alias(id_col), "n_links", "component_id", F.coalesce(F.col("component_id") == F.col("id"), F.lit(False)).alias("kept"))
 
 
 def op9_embeddings(spark, sf_dir: str) -> DataFrame:

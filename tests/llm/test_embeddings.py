@@ -1,6 +1,6 @@
 import numpy as np
 
-from granary.llm.embeddings import near_vectors, plan
+from granary.llm.embeddings import calibrated, collide, near_vectors, plan
 
 
 def brute(rows):
@@ -32,11 +32,38 @@ def test_links_match_brute_force(spark):
     table = spark.createDataFrame([(i, v, 1) for i, v in [*rows, rows[2]]], "vec_id long, embedding array<double>, n_links int")
     got = near_vectors(table).collect()
     assert len(got) == len(rows) + 1
-    want, wrong = brute(rows), 0
+    # rows[2] comes twice: two vectors under one id, each linked to the other
+    want = brute([*rows, (len(rows), rows[2][1])])
     for r in got:
-        if (r.n_links, r.component_id, r.kept) != want[r.vec_id]:
-            wrong += 1
-    assert wrong <= 2  # recall is a probability
+        n, least, _ = want[r.vec_id]
+        assert (r.n_links, r.component_id, r.kept) == (n, least, r.vec_id == least)
+
+
+def test_rows_that_share_an_id_are_vectors_of_their_own(spark):
+    rows = [(5, [1.0, 0.0]), (5, [0.0, 1.0]), (3, [0.05, 1.0]), (None, [1.0, 0.05]), (None, None), (9, [1e300, 0.0]), (9, None)]
+    got = [(r.vec_id, r.n_links, r.component_id, r.kept) for r in near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()]
+    want = [(5, 2, 5, True), (5, 1, 3, False), (3, 1, 3, True), (None, 2, 5, False), (None, 0, None, False), (9, 2, 5, False), (9, 0, 9, True)]
+    assert sorted(got, key=str) == sorted(want, key=str)
+
+
+def test_recall_of_planted_links(spark):
+    """Links at the threshold among many unlike vectors: what brute force finds is found, and nothing else."""
+    rng = np.random.default_rng(8)
+    base = rng.normal(size=(700, 48))
+    near = base[:250] + rng.normal(size=(250, 48)) * rng.uniform(0.2, 0.55, (250, 1))
+    x = np.r_[base, near]
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    link = (u @ u.T >= 0.9) & ~np.eye(len(x), dtype=bool)
+    got = {r.vec_id: r.n_links for r in near_vectors(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")).collect()}
+    found, true = sum(got.values()), int(link.sum())
+    assert 100 < true and found <= true and found >= 0.99 * true
+    assert all(got[i] <= link[i].sum() for i in got)
+
+
+def test_the_count_is_the_most_that_keeps_the_recall():
+    lines, tables = plan(50_000)
+    cell, window = collide(0.9)
+    assert calibrated(tables, cell**lines * window) == 2 and calibrated(tables * 4, cell**lines * window) > 8
 
 
 def test_plan_grows_slowly():
