@@ -8,7 +8,8 @@ set: an explicit allow goes before a propagated block.
 
 Defined results: a null url, or one without `://`, has empty host and path, no
 rule and no edges, and is allowed; rows that repeat are each judged; null html
-has no edges. Only the columns named are read. The rules are a short list that
+has no edges; every canonical link and refresh of a page is an edge, and relative
+addresses are resolved against the page's. Only the columns named are read. The rules are a short list that
 becomes one expression; nothing is broadcast.
 """
 
@@ -60,12 +61,36 @@ def rule_of(host: Column, path: Column, rules=RULES) -> Column:
 
 def page_edges(pages: DataFrame) -> DataFrame:
     """(src, dst): addresses that pages say are the same, without fragments and without self-links."""
-    same = F.array_compact(F.array(*(F.nullif(F.regexp_extract("html", p, 1), F.lit("")) for p in (_LINK, _REFRESH))))
-    out = pages.select(address(F.col("url")).alias("src"), F.explode(same).alias("to"))
-    there = F.replace(F.col("to"), F.lit("&amp;"), F.lit("&"))
-    base = F.regexp_extract("src", r"(?s)^(.*?://[^/?#]*)", 1)
-    there = F.when(F.instr(there, "://") > 0, there).when(there.startswith("//"), F.concat(F.regexp_extract("src", r"(?s)^(.*?):", 1), F.lit(":"), there)).when(there.startswith("/"), F.concat(base, there))
-    return out.select("src", address(there).alias("dst")).where("src is not null and dst is not null and src <> dst")
+    html = F.coalesce("html", F.lit(""))
+    said = F.concat(*(F.regexp_extract_all(html, F.lit(p), F.lit(1)) for p in (_LINK, _REFRESH)))
+    out = pages.select(address(F.col("url")).alias("src"), F.explode(F.array_distinct(said)).alias("to")).where("src is not null")
+    there = F.trim(F.replace(F.col("to"), F.lit("&amp;"), F.lit("&")))
+    return out.select("src", address(resolved(there, F.col("src"))).alias("dst")).where("dst is not null and src <> dst")
+
+
+def resolved(link: Column, page: Column) -> Column:
+    """The full address that a link on a page means; null where it has another scheme than a web page's, or is empty."""
+    base = F.regexp_extract(page, r"(?s)^(.*?://[^/?#]*)", 1)
+    path = F.regexp_extract(page, r"(?s)^.*?://[^/?#]*([^?#]*)", 1)
+    folder = F.when(path == "", F.lit("/")).otherwise(F.regexp_extract(path, r"(?s)^(.*/)", 1))
+    steps = F.split(F.concat(folder, F.regexp_extract(link, r"(?s)^([^?#]*)", 1)), "/")
+    # A last step that only moves ends in the folder it names.
+    steps = F.when(F.element_at(steps, -1).isin(".", ".."), F.concat(steps, F.array(F.lit("")))).otherwise(steps)
+
+    def walk(done: Column, step: Column) -> Column:
+        back = F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(1)))
+        return F.when(step == "..", back).when(step == ".", done).otherwise(F.concat(done, F.array(step)))
+
+    walked = F.array_join(F.aggregate(F.slice(steps, 2, F.size(steps)), F.slice(steps, 1, 1), walk), "/")
+    relative = F.concat(base, walked, F.regexp_extract(link, r"(?s)^[^?#]*(.*)$", 1))
+    return (
+        F.when((link == "") | link.startswith("#"), None).when(link.rlike(r"(?s)^[A-Za-z][A-Za-z0-9+.-]*://"), link)
+        .when(link.startswith("//"), F.concat(F.regexp_extract(page, r"(?s)^(.*?):", 1), F.lit(":"), link))
+        .when(link.rlike(r"(?s)^[A-Za-z][A-Za-z0-9+.-]*:"), None)
+        .when(link.startswith("/"), F.concat(base, link))
+        .when(link.startswith("?"), F.concat(base, path, link))
+        .otherwise(relative)
+    )
 
 
 def address(url: Column) -> Column:

@@ -26,6 +26,17 @@ def test_verdicts(spark):
     assert sorted(got, key=key) == sorted(((r[0], *r[3:]) for r in ROWS), key=key)
 
 
+def test_every_link_is_an_edge_and_relative_ones_are_resolved(spark):
+    two = CANON.format("https://q.test/1") + '<link rel="canonical" href="https://a.example.com/en/8">'
+    pages = [
+        (1, "https://p.test/a/b.html", two), (2, "https://q.test/1", ""), (3, "https://r.test/x/y/z?q", CANON.format("../w")), (4, "https://r.test/x/w", CANON.format("https://a.example.com/en/9")),
+        (5, "https://s.test/d/", CANON.format("e")), (6, "https://s.test/d/e", '<meta http-equiv=refresh content="0;url=?k=1">'), (7, "https://s.test/d/e?k=1", CANON.format("//a.example.com/en/9")),
+        (8, "https://t.test", CANON.format("mailto:x@a.example.com")), (9, "https://t.test/", CANON.format("#top")),
+    ]
+    got = {r.page_id: r.verdict for r in url_verdicts(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    assert got == {i: "block" for i in range(1, 8)} | {8: "allow", 9: "allow"}
+
+
 def test_given_edges_and_empty(spark):
     pages = spark.createDataFrame([(1, "http://m.test/a", "")], "page_id long, url string, html string")
     edges = spark.createDataFrame([("http://m.test/a", "http://z.org/es/3"), (None, "http://z.org/es/3")], "src string, dst string")
