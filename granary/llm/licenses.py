@@ -156,7 +156,10 @@ class Scanner:
     def _tightest(words: list[str], lo: int, hi: int, mark: int, t: list[str]) -> list[tuple[int, int]]:
         """The best alignment over stretches round a mark: each start that puts the mark in its place of the template, then the whole stretch."""
         best: list[tuple[int, int]] = []
-        near = [(max(lo, mark - q - 2), min(hi, mark - q + len(t) + 2)) for q, w in enumerate(t) if w == words[mark]]
+        # A long template may drift by as many words as it has quarters of, so wider stretches follow the tight one.
+        drifts = sorted({2, len(t) // 8, len(t) // 4} - {0, 1})
+        places = [q for q, w in enumerate(t) if w == words[mark]]
+        near = [(max(lo, mark - q - d), min(hi, mark - q + len(t) + d)) for d in drifts for q in places]
         for a, b in [*near, (lo, hi)]:
             pairs = [(p + a, k) for p, k in align(words[a:b], t)]
             if len(pairs) > len(best):

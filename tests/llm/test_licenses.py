@@ -48,6 +48,17 @@ def test_notices_at_the_bound_and_with_words_between():
     assert [x[0] for x in scan(TEMPLATES["GPL-3.0"] + " " + TEMPLATES["Apache-2.0"])] == ["GPL-3.0", "Apache-2.0"]
 
 
+def test_a_long_template_may_drift():
+    """200 words with 39 inserted words that the template has too: every word is still covered."""
+    rnd = random.Random(4)
+    words = [f"{rnd.choice('bcdfg')}{rnd.choice('aeiou')}{i % 150}x" for i in range(200)]
+    text = list(words)
+    for i in sorted(rnd.sample(range(5, 195), 39), reverse=True):
+        text.insert(i, rnd.choice(["the", "and", "of"]))
+    got = Scanner({"long": " ".join(words)}).scan("lorem ipsum " * 30 + " ".join(text) + " dolor" * 50)
+    assert [x[0] for x in got] == ["long"] and got[0][1] >= 0.99
+
+
 def test_no_templates(spark):
     assert Scanner({}).scan("abc") == []
     assert scan_licenses(spark.createDataFrame([], "doc_id long, text string")).count() == 0
