@@ -33,9 +33,10 @@ WORD = re.compile(r"\w+")
 WINDOW = 8
 #: Labelled rows of each class that the lexicon and the weights are learned from.
 PER_CLASS = 6_000
-#: Documents a term must occur in, the log-odds it must reach, and the most entries a lexicon has.
-MIN_DOCS, MIN_ODDS, MOST_TERMS = 4, 3.0, 5_000
-MIN_STEM = 4
+#: Documents a term must occur in, and the log-odds it must reach.
+MIN_DOCS, MIN_ODDS = 4, 3.0
+#: Letters of a prefix that may become a stem.
+STEMS = range(4, 9)
 #: Distinct words and automaton states that a Python worker remembers; both start anew beyond that, which changes no result.
 REMEMBERED, MOST_STATES = 500_000, 100_000
 # Marks and words that open a quotation or report speech, and words of address.
@@ -217,26 +218,29 @@ def build_lexicon(counts: list[tuple[str, bool, int, int]], n_pos: int, n_neg: i
         if not inside or max(inside) < 0.7 * p:
             stems.append(s)
     terms = [w for w in sorted(words, key=lambda w: (-words[w][0], w)) if not any(w.startswith(s) for s in stems)]
-    return terms[:MOST_TERMS], stems[:MOST_TERMS]
+    return terms, stems
 
 
 def count_strings(sample: DataFrame) -> list[tuple[str, bool, int, int]]:
-    """Document counts by class of words and of their prefixes; only strings that toxic documents favour are returned."""
+    """Document counts by class of words and of their prefixes; only strings that toxic documents favour are returned.
+
+    The sample's bound on rows bounds them: each is in MIN_DOCS of its toxic documents at least.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "text"):
             s, whole, ys = [], [], []
             for text, y in zip(b.column("text").to_pylist(), b.column("y").to_pylist(), strict=True):
-                words = {w for w in WORD.findall(text.lower()) if 3 <= len(w) <= 40}
-                stems = {w[:k] for w in words for k in range(MIN_STEM, min(len(w), 8) + 1)}
+                words = {w for w in WORD.findall(text.lower()) if len(w) >= 3}
+                stems = {w[:k] for w in words for k in STEMS if k <= len(w)}
                 s += [*words, *stems]
                 whole += [True] * len(words) + [False] * len(stems)
                 ys += [y] * (len(words) + len(stems))
             yield pa.RecordBatch.from_arrays([pa.array(s, pa.string()), pa.array(whole, pa.bool_()), pa.array(ys, pa.int32())], ["s", "whole", "y"])
 
     n = sample.select("text", "y").mapInArrow(run, "s string, whole boolean, y int").groupBy("s", "whole").agg(F.sum("y").alias("p"), F.sum(1 - F.col("y")).alias("n"))
-    rows = n.where(f"p >= {MIN_DOCS} and p > 4 * n").orderBy(F.desc("p"), "s", "whole").limit(8 * MOST_TERMS).collect()
-    return [(r.s, r.whole, r.p, r.n) for r in rows]
+    rows = n.where(f"p >= {MIN_DOCS} and p > 4 * n").collect()
+    return sorted((r.s, r.whole, r.p, r.n) for r in rows)
 
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, rounds: int = 300, l2: float = 1e-3) -> np.ndarray:

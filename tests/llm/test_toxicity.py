@@ -56,6 +56,37 @@ def test_learns_and_scores_all_rows(spark):
     assert all(0 <= r.score <= 1 for r in out)
 
 
+def test_misspellings_and_quotation_change_the_result(spark):
+    """Planted held-out texts: misspelled terms are caught, which exact terms alone miss, and a quoted term scores below the same one as abuse."""
+    rnd = random.Random(7)
+    filler = ["alpha", "beta", "gamma", "delta", "house", "tree", "river", "cloud"]
+    terms = ["grobblekin", "zunkelwort", "snarfling"]
+    docs, labels = [], []
+    for i in range(600):
+        words = [rnd.choice(filler) for _ in range(40)]
+        kind = i % 4
+        if kind == 0:
+            words[9] = words[25] = rnd.choice(terms)
+        if kind == 1 and i % 8 == 1:
+            t = rnd.choice(terms)
+            words[9] = f'the report said "{t}" and called'
+        docs.append((i, ("you " if kind == 0 else "") + " ".join(words)))
+        labels.append((i, int(kind == 0)))
+    body = " ".join(rnd.choice(filler) for _ in range(40))
+    docs += [(1000 + i, f"you {w} {body} {w}") for i, w in enumerate(["groblekin", "zunkelwrt", "snarflinng"])]
+    docs += [(2000, f'he said "{terms[0]}" in the report {body}'), (2001, f"you are a {terms[0]} and {body}")]
+    got = {r.doc_id: r for r in toxicity(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")).collect()}
+    assert all(got[1000 + i].predicted == 1 for i in range(3))
+    assert got[2000].score < got[2001].score and got[2001].predicted == 1
+
+
+def test_long_words_and_terms_are_read(spark):
+    long = "x" * 60
+    docs = [(i, f"alpha beta {long if i % 3 == 0 else 'gamma'} delta") for i in range(90)]
+    got = toxicity(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(90)], "doc_id long, toxic int")).collect()
+    assert all(r.predicted == int(r.doc_id % 3 == 0) for r in got)
+
+
 def test_empty_tables(spark):
     none = spark.createDataFrame([], "doc_id long, text string")
     assert toxicity(none, spark.createDataFrame([], "doc_id long, toxic int")).count() == 0
