@@ -46,3 +46,11 @@ def appended(docs, column: str, name: str, kind: str, arrow_kind: pa.DataType, v
             yield pa.RecordBatch.from_arrays([*b.columns, got], [*b.schema.names, name])
 
     return docs.mapInArrow(run, schema)
+
+
+def unused(columns: list[str], name: str) -> str:
+    """name, or name with as many underscores as make it none of the columns, whatever their case."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name

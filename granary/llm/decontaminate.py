@@ -9,12 +9,15 @@ bit-parallel distance over that window decides.
 Text is compared in lower case with runs of white space as one blank. Defined
 results: null or blank items and texts match nothing; items that repeat are each
 reported; a document is reported once with the sorted list of the item ids it
-holds. Items are read in blocks of bounded size, so that what is broadcast
-never grows with the benchmark. Further columns are not read.
+holds. Items are streamed to the driver in blocks of bounded size; each block is
+broadcast for one pass over the documents, whose result is written before the
+next block is read, so neither the driver nor a worker ever holds more than one
+block, whatever the size of the benchmark. Further columns are not read.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -23,7 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from granary.llm.arrow import appended, slices
+from granary.llm.arrow import appended, unused
+from granary.plans.staging import stage
 
 #: Edits allowed for each character of an item.
 RATE = 0.07
@@ -137,38 +141,47 @@ def _blocks(items: DataFrame, id_col: str, text_col: str, block_chars: int) -> I
         yield block
 
 
-def matches(docs: DataFrame, items: DataFrame, rate: float = RATE, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", block_chars: int = BLOCK_CHARS) -> DataFrame:
-    """(id, items array<long>, distances array<int>), one row for each row of docs; both lists are empty where it is clean."""
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    kind = rows.schema["id"].dataType.simpleString()
-    found = list(_blocks(items, item_col, item_text, block_chars))
-    matchers: dict[int, Matcher] = {}
+#: The automaton of the block that a Python worker saw last, by the name of its pass; tasks of one pass share it.
+_built: dict[str, Matcher] = {}
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for i in range(len(shared)):
-            matchers.setdefault(i, Matcher(shared[i].value, rate))
-        for b in slices(batches, "text"):
-            got = [sorted(x for m in matchers.values() for x in m.find(t)) for t in b.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [b.column("id"), pa.array([[i for i, _ in g] for g in got], pa.list_(pa.int64())), pa.array([[d for _, d in g] for g in got], pa.list_(pa.int32()))],
-                ["id", "items", "distances"],
-            )
 
-    shared = [docs.sparkSession.sparkContext.broadcast(b) for b in found]
-    return rows.mapInArrow(run, f"id {kind}, items array<long>, distances array<int>").withColumnRenamed("id", id_col)
+def _matcher(name: str, shared, rate: float) -> Matcher:
+    if name not in _built:
+        _built.clear()
+        _built[name] = Matcher(shared.value, rate)
+    return _built[name]
 
 
-def without_items(docs: DataFrame, items: DataFrame, rate: float = RATE, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", block_chars: int = BLOCK_CHARS) -> DataFrame:
-    """The rows of docs, with all their columns, that hold no item."""
-    shared = [docs.sparkSession.sparkContext.broadcast(b) for b in _blocks(items, item_col, item_text, block_chars)]
-    matchers: dict[int, Matcher] = {}
+def _passes(docs: DataFrame, text_col: str, name: str, blocks: Iterator[list[tuple[int, str]]], rate: float, keep) -> DataFrame:
+    """docs with column `name`, array<struct<item, distance>> of what the blocks' items hit, after one pass a block; keep(df) follows each pass."""
+    kind = pa.list_(pa.struct([("item", pa.int64()), ("distance", pa.int32())]))
+    block, out = next(blocks, []), docs
+    while True:
+        shared, one = docs.sparkSession.sparkContext.broadcast(block), uuid.uuid4().hex
+
+        def found(texts: list[str | None], shared=shared, one=one) -> list[list[dict]]:
+            m = _matcher(one, shared, rate)
+            return [[{"item": i, "distance": d} for i, d in m.find(t)] for t in texts]
+
+        out = keep(appended(out, text_col, name, "array<struct<item:bigint,distance:int>>", kind, found))
+        block = next(blocks, None)
+        if block is None:
+            return out
+        out = stage(out, "decontaminate")
 
-    def held(texts: list[str | None]) -> list[bool]:
-        for i in range(len(shared)):
-            matchers.setdefault(i, Matcher(shared[i].value, rate))
-        return [any(m.find(t) for m in matchers.values()) for t in texts]
 
-    return appended(docs, text_col, "_holds_item", "boolean", pa.bool_(), held).where("not _holds_item").drop("_holds_item")
+def matches(docs: DataFrame, items: DataFrame, rate: float = RATE, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", block_chars: int = BLOCK_CHARS) -> DataFrame:
+    """(id, items array<long>, distances array<int>), one row for each row of docs; both lists are empty where it is clean."""
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.array().cast("array<struct<item:bigint,distance:int>>").alias("all"))
+    merge = lambda df: df.select("id", "text", F.concat("all", "hits").alias("all"))
+    out = _passes(rows, "text", "hits", _blocks(items, item_col, item_text, block_chars), rate, merge)
+    return out.withColumn("all", F.array_sort("all")).select(F.col("id").alias(id_col), F.col("all.item").alias("items"), F.col("all.distance").alias("distances"))
+
+
+def without_items(docs: DataFrame, items: DataFrame, rate: float = RATE, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", block_chars: int = BLOCK_CHARS) -> DataFrame:
+    """The rows of docs, with all their columns, that hold no item."""
+    name = unused(docs.columns, "_hits")
+    return _passes(docs, text_col, name, _blocks(items, item_col, item_text, block_chars), rate, lambda df: df.where(F.size(name) == 0).drop(name))
 
 
 def op8_decontaminate(spark, sf_dir: str) -> DataFrame:

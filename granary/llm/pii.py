@@ -13,10 +13,15 @@ few exceptions go into the replacement. After ROUNDS such turns a shape is taken
 as crowded: its next surrogates are longer (addresses come from wider reserved
 networks), and the turns go on until every entity has one of its own.
 
+Card and bank account numbers get the check digits that their types ask for. The
+key is the session's spark.granary.pii.key, where no other is given.
+
 Defined results: a null text stays null with no entities; text outside of
 entities is kept byte for byte; entities that touch letters or digits on either
-side are not entities; rows that repeat are each rewritten. Further columns of
-the input are kept by `rewrite` and not read by `surrogates`.
+side are not entities; rows that repeat are each rewritten. An entity may be of
+any length: what is after its first LETTERS places is drawn in whole stretches.
+Further columns of the input are kept by `rewrite`, whatever their names, and
+not read by `surrogates`.
 """
 
 from __future__ import annotations
@@ -24,16 +29,20 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from granary.llm.arrow import unused
 from granary.plans.staging import stage
 
+#: The key for tests, where the session's configuration names none.
 KEY = "granary-demo-key"
 #: Exceptions that may go into the plan as one map; above it they are joined to the mentions.
 MAP_BOUND = 10_000
 #: Surrogates of the entity's own shape that are tried before wider ones are.
 ROUNDS = 12
+#: Places of an entity that are drawn one by one.
+LETTERS = 512
 
 # Titles by gender, and names that stand in for names.
-TITLES = {"m": ["Mr", "Herr", "Monsieur", "Señor"], "f": ["Mrs", "Ms", "Miss", "Frau", "Madame", "Señora"]}
+TITLES = {"m": ["Mr", "Herr", "Monsieur", "Señor"], "f": ["Mrs", "Ms", "Miss", "Frau", "Madame", "Señora"], "any": ["Dr", "Prof", "Professor"]}
 NAMES = {
     "m": ["Adam", "Bruno", "Carl", "David", "Emil", "Felix", "Gustav", "Hugo", "Ivan", "Jonas", "Karl", "Leon", "Martin", "Noah", "Oscar", "Paul"],
     "f": ["Anna", "Berta", "Clara", "Diana", "Emma", "Flora", "Greta", "Hanna", "Irene", "Julia", "Klara", "Laura", "Maria", "Nora", "Olga", "Paula"],
@@ -42,8 +51,8 @@ _TITLE = "|".join(sorted((t for ts in TITLES.values() for t in ts), key=lambda t
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 # The types and their patterns, in order of precedence.
 PATTERNS = [
-    ("email", r"[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}"),
-    ("secret", r"(?i:password|passwd|pwd|secret|token|api[_-]?key)\s{0,3}[=:]\s{0,3}[\"']?[A-Za-z0-9_/+-]{8,128}[\"']?"),
+    ("email", r"[A-Za-z0-9][A-Za-z0-9._%+-]*+@(?:[A-Za-z0-9-]++\.){1,126}[A-Za-z]{2,}"),
+    ("secret", r"(?i:password|passwd|pwd|secret|token|api[_-]?key)\s{0,3}[=:]\s{0,3}[\"']?[A-Za-z0-9_/+-]{8,}[\"']?"),
     ("aws_key", r"(?:AKIA|ASIA)[0-9A-Z]{16}"),
     ("iban", r"[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?"),
     ("ip", rf"{_OCTET}(?:\.{_OCTET}){{3}}"),
@@ -53,7 +62,7 @@ PATTERNS = [
     ("phone", r"\d{3}[-.]\d{3}[-.]\d{4}"),
     ("card", r"\d{4}(?:[ -]?\d{4}){3}"),
     ("card", r"\d{13,19}"),
-    ("name", rf"(?:{_TITLE})\.? \p{{Lu}}[\p{{L}}'’-]{{1,40}}(?: \p{{Lu}}[\p{{L}}'’-]{{1,40}})?"),
+    ("name", rf"(?:{_TITLE})\.? \p{{Lu}}[\p{{L}}'’-]+(?: \p{{Lu}}[\p{{L}}'’-]+)?"),
 ]
 ENTITY = r"(?<![\p{L}\p{N}_+.@-])(?:" + "|".join(p for _, p in PATTERNS) + r")(?![\p{L}\p{N}_@])"
 #: What every entity holds; texts without it are passed over.
@@ -74,7 +83,7 @@ def canonical(entity: Column, kind: Column) -> Column:
         F.when(kind.isin("phone", "card", "ssn", "iban"), F.regexp_replace(entity, r"[ ().-]", ""))
         .when(kind == "email", F.lower(entity))
         .when(kind == "name", F.lower(F.regexp_replace(entity, rf"^(?:{_TITLE})\.? ", "")))
-        .when(kind == "secret", F.regexp_extract(entity, r"([A-Za-z0-9_/+-]{8,128})[\"']?$", 1))
+        .when(kind == "secret", F.regexp_extract(entity, r"([A-Za-z0-9_/+-]{8,})[\"']?$", 1))
         .otherwise(entity)
     )
 
@@ -112,7 +121,30 @@ def _masked(text: Column, hexes: Column, lower: Column) -> Column:
             drawn = F.when(F.regexp_extract(c, _SETS, i) != "", F.substr(F.lit(a), _draw(hexes, acc["n"], many) + 1, F.lit(1))).otherwise(drawn)
         return F.struct(F.concat(acc["out"], F.when(c.rlike(_SETS), drawn).otherwise(c)).alias("out"), (acc["n"] + c.rlike(_SETS).cast("int")).alias("n"))
 
-    return F.aggregate(F.split(text, ""), state, step, lambda acc: acc["out"])
+    # A very long entity's rest is a run of the entity's hex digits, so that the cost stays in proportion to its length.
+    rest = F.greatest(F.length(text) - LETTERS, F.lit(0))
+    tail = F.substr(F.repeat(hexes, F.ceil(rest / 512).cast("int")), F.lit(1), rest)
+    return F.concat(F.aggregate(F.split(F.substring(text, 1, LETTERS), ""), state, step, lambda acc: acc["out"]), tail)
+
+
+def _digits(x: Column) -> Column:
+    return F.filter(F.split(x, ""), lambda c: c != "")
+
+
+def luhn_checked(card: Column) -> Column:
+    """A card number whose last digit is its check digit; separators stay."""
+    body = F.reverse(_digits(F.regexp_replace(F.regexp_replace(card, r"\D", ""), r".$", "")))
+    worth = F.transform(body, lambda c, i: F.when(i % 2 == 1, c.cast("int")).otherwise(2 * c.cast("int") - F.when(c.cast("int") > 4, 9).otherwise(0)))
+    check = F.pmod(10 - F.aggregate(worth, F.lit(0), lambda a, x: a + x) % 10, F.lit(10))
+    return F.concat(F.substr(card, F.lit(1), F.length(card) - 1), check.cast("string"))
+
+
+def iban_checked(iban: Column) -> Column:
+    """A bank account number with the two check digits after its country code."""
+    flat = F.regexp_replace(iban, " ", "")
+    turned = _digits(F.concat(F.substr(flat, F.lit(5)), F.substr(flat, F.lit(1), F.lit(2)), F.lit("00")))
+    left = F.aggregate(turned, F.lit(0), lambda a, c: F.when(c.rlike("[0-9]"), a * 10 + F.try_to_number(c, F.lit("9")).cast("int")).otherwise(a * 100 + F.ascii(c) - 55) % 97)
+    return F.concat(F.substr(iban, F.lit(1), F.lit(2)), F.lpad((98 - left).cast("string"), 2, "0"), F.substr(iban, F.lit(5)))
 
 
 def _parts(m: Column) -> Column:
@@ -128,7 +160,8 @@ def _parts(m: Column) -> Column:
         .otherwise(F.concat_ws(":", F.lit("2001"), F.lit("db8"), *groups))
     )
     title = F.regexp_extract(e, rf"^((?:{_TITLE})\.? )", 1)
-    female = F.rtrim(F.regexp_replace(title, r"\.", "")).isin(TITLES["f"])
+    bare = F.rtrim(F.regexp_replace(title, r"\.", ""))
+    female = F.when(bare.isin(TITLES["any"]), n(81, 2) == 1).otherwise(bare.isin(TITLES["f"]))
     given = F.element_at(F.when(female, F.array(*map(F.lit, NAMES["f"]))).otherwise(F.array(*map(F.lit, NAMES["m"]))), n(80, len(NAMES["m"])) + 1)
     # The first of two names in Latin letters becomes a given name; a name in another script is masked in its script.
     first = F.regexp_extract(e, rf"^(?:{_TITLE})\.? ([\p{{IsLatin}}'’-]+ )", 1)
@@ -146,14 +179,15 @@ def _parts(m: Column) -> Column:
     part = lambda i: F.regexp_extract(body, last, i)
     more = F.floor((m["nonce"] - ROUNDS) / 2).cast("int") + 1
     body = F.when(m["nonce"] < ROUNDS, body).otherwise(F.concat(part(1), F.repeat(part(2), more), part(3)))
-    return F.struct(head.alias("head"), body.alias("body"), F.when(kind == "email", mail).otherwise("").alias("tail"), h.alias("h"), F.when((kind == "secret") & ~body.rlike("[g-z]"), 6).otherwise(26).alias("lower"))
+    return F.struct(head.alias("head"), body.alias("body"), F.when(kind == "email", mail).otherwise("").alias("tail"), h.alias("h"), F.when((kind == "secret") & ~body.rlike("[g-z]"), 6).otherwise(26).alias("lower"), kind.alias("kind"))
 
 
 def surrogates(found: Column, key: str = KEY) -> Column:
     """array<string> of the replacements of an array of struct(entity, kind, canon, nonce)."""
     hashed = F.transform(found, lambda m: F.struct(m["entity"].alias("entity"), m["kind"].alias("kind"), m["nonce"].alias("nonce"), _stream(m["kind"], m["canon"], m["nonce"], key).alias("h")))
     parts = F.transform(hashed, _parts)
-    return F.transform(parts, lambda m: F.concat(m["head"], _masked(m["body"], m["h"], m["lower"]), m["tail"]))
+    made = F.transform(parts, lambda m: F.struct(m["kind"].alias("kind"), F.concat(m["head"], _masked(m["body"], m["h"], m["lower"]), m["tail"]).alias("text")))
+    return F.transform(made, lambda m: F.when(m["kind"] == "card", luhn_checked(m["text"])).when(m["kind"] == "iban", iban_checked(m["text"])).otherwise(m["text"]))
 
 
 def described(entities: Column, nonce_of=lambda kind, canon, at: F.lit(0)) -> Column:
@@ -214,33 +248,40 @@ def _rebuilt(text: Column, found: Column, new: Column) -> Column:
     return F.when(F.size(found) == 0, text).otherwise(F.array_join(F.flatten(F.zip_with(between, new, lambda a, b: F.array(a, F.coalesce(b, F.lit(""))))), ""))
 
 
-def rewrite(docs: DataFrame, text_col: str = "text", key: str = KEY, map_bound: int = MAP_BOUND) -> DataFrame:
-    """docs with text_col rewritten, and two columns more: _n_entities int and _kinds array<string>, one kind for each entity."""
+def rewrite(docs: DataFrame, text_col: str = "text", key: str | None = None, map_bound: int = MAP_BOUND) -> DataFrame:
+    """docs with text_col rewritten, and two columns more: _n_entities int and _kinds array<string>, one kind for each entity.
+
+    Columns of docs that have those names already are replaced; all others stay.
+    """
+    key = docs.sparkSession.conf.get("spark.granary.pii.key", KEY) if key is None else key
+    docs = docs.drop(*(c for c in docs.columns if c.lower() in ("_n_entities", "_kinds")))
+    given = docs.columns
+    found, new, odd_map, nonces, row = (unused(given, x) for x in ("_found", "_new", "_odd", "_nonces", "_row"))
     odd, n = exceptions(docs, text_col, key)
     text = F.col(text_col)
-    out = docs.withColumn("_found", F.coalesce(mentions(text), F.array().cast("array<string>")))
+    out = docs.withColumn(found, F.coalesce(mentions(text), F.array().cast("array<string>")))
 
     if n == 0:
         nonce_of = lambda kind, canon, at: F.lit(0)
     elif n <= map_bound:
         entry = F.struct(F.concat_ws("\u0001", "kind", "canon"), "nonce")
-        table = odd.agg(F.map_from_entries(F.collect_list(entry)).alias("_odd"))
+        table = odd.agg(F.map_from_entries(F.collect_list(entry)).alias(odd_map))
         out = out.join(F.broadcast(table), how="cross")  # one row of at most map_bound entries
-        nonce_of = lambda kind, canon, at: F.coalesce(F.try_element_at(F.col("_odd"), F.concat_ws("\u0001", kind, canon)), F.lit(0))
+        nonce_of = lambda kind, canon, at: F.coalesce(F.try_element_at(F.col(odd_map), F.concat_ws("\u0001", kind, canon)), F.lit(0))
     else:
         # Only rows with an exception among their entities are shuffled, each mention with its nonce.
-        out = out.withColumn("_row", F.monotonically_increasing_id())
+        out = out.withColumn(row, F.monotonically_increasing_id())
         out = stage(out, "pii-rows")
-        spread = out.select("_row", F.posexplode(described(F.col("_found"))).alias("_at", "m")).select("_row", "_at", "m.kind", "m.canon")
-        some = spread.join(odd, ["kind", "canon"]).groupBy("_row").agg(F.map_from_entries(F.collect_list(F.struct("_at", odd["nonce"]))).alias("_nonces"))
-        out = out.join(some, "_row", "left").drop("_row")
-        nonce_of = lambda kind, canon, at: F.coalesce(F.try_element_at(F.col("_nonces"), at), F.lit(0))
-
-    out = out.withColumn("_found", described(F.col("_found"), nonce_of))
-    out = out.withColumn("_new", surrogates(F.col("_found"), key))
-    out = out.withColumn(text_col, _rebuilt(text, F.col("_found"), F.col("_new")))
-    out = out.withColumn("_n_entities", F.size("_found")).withColumn("_kinds", F.transform("_found", lambda m: m["kind"]))
-    return out.drop("_found", "_new", "_odd", "_nonces")
+        spread = out.select(F.col(row).alias("_row"), F.posexplode(described(F.col(found))).alias("_at", "m")).select("_row", "_at", "m.kind", "m.canon")
+        some = spread.join(odd, ["kind", "canon"]).groupBy(F.col("_row").alias(row)).agg(F.map_from_entries(F.collect_list(F.struct("_at", odd["nonce"]))).alias(nonces))
+        out = out.join(some, row, "left").drop(row)
+        nonce_of = lambda kind, canon, at: F.coalesce(F.try_element_at(F.col(nonces), at), F.lit(0))
+
+    out = out.withColumn(found, described(F.col(found), nonce_of))
+    out = out.withColumn(new, surrogates(F.col(found), key))
+    out = out.withColumn(text_col, _rebuilt(text, F.col(found), F.col(new)))
+    out = out.withColumn("_n_entities", F.size(found)).withColumn("_kinds", F.transform(found, lambda m: m["kind"]))
+    return out.select(*given, "_n_entities", "_kinds")
 
 
 def op5_pii(spark, sf_dir: str) -> DataFrame:

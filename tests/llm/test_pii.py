@@ -94,6 +94,54 @@ def test_letters_of_every_script_are_replaced(spark):
     assert re.fullmatch(r"[Ա-Ֆ][ա-ֆ]{6}", got[2].text[3:-5])
 
 
+def luhn(digits):
+    return sum(d if i % 2 == 0 else (2 * d - 9 if d > 4 else 2 * d) for i, d in enumerate(map(int, reversed(digits)))) % 10 == 0
+
+
+def test_check_digits_are_right(spark):
+    cards = [(i, f"card {4000000000000000 + 7919 * i}") for i in range(30)] + [(40, "card 3782-822463-1000 5"), (41, "4111 1111 1111 1111")]
+    ibans = [(50, "DE44 5001 0517 5407 3249 31"), (51, "GB82WEST12345698765432"), (52, "FR14 2004 1010 0505 0001 3M02 606")]
+    got = run(spark, cards + ibans)
+    for i, _ in cards:
+        if got[i]["_kinds"]:
+            assert luhn(re.sub(r"\D", "", got[i].text))
+    assert got[41]["_kinds"] == ["card"] and re.fullmatch(r"\d{4} \d{4} \d{4} \d{4}", got[41].text)
+    for i, t in ibans:
+        flat = got[i].text.replace(" ", "")
+        assert got[i]["_kinds"] == ["iban"] and flat[:2] == t[:2] and flat != t.replace(" ", "")
+        assert int("".join(str(int(c, 36)) for c in flat[4:] + flat[:4])) % 97 == 1
+
+
+def test_entities_of_any_length(spark):
+    long = "aB3" * 900
+    rows = [(1, f"password={long} end"), (2, f"{'a.b' * 80}@{'x' * 90}.example.museum"), (3, f"Mr {'Ab' + 'c' * 70} left"), (4, "Dr. John Smith and Prof Ada Byron")]
+    got = run(spark, rows)
+    assert [got[i]["_kinds"] for i in (1, 2, 3, 4)] == [["secret"], ["email"], ["name"], ["name", "name"]]
+    new = re.fullmatch(r"password=(\S+) end", got[1].text)[1]
+    assert len(new) == len(long) and not any(long[i : i + 12] in new for i in range(0, 2600, 9))
+    assert "x" * 90 not in got[2].text and "c" * 20 not in got[3].text
+    given = re.fullmatch(r"Dr\. (\S+) \S+ and Prof (\S+) \S+", got[4].text)
+    assert set(given.groups()) <= {*pii.NAMES["m"], *pii.NAMES["f"]} and "Smith" not in got[4].text
+
+
+def test_clashing_columns_stay(spark):
+    names = ["_found", "_new", "_odd", "_nonces", "_row", "_Found_"]
+    rows = [(1, "mail jo@mail1.example.com") + tuple(names), (2, None) + tuple(names)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, " + ", ".join(f"`{n}` string" for n in names))
+    for bound in (10_000, 0):
+        got = pii.rewrite(table, map_bound=bound)
+        assert got.columns == [*table.columns, "_n_entities", "_kinds"]
+        assert all(r[n] == n for r in got.collect() for n in names)
+
+
+def test_the_key_is_the_sessions(spark):
+    spark.conf.set("spark.granary.pii.key", "k2")
+    try:
+        assert run(spark, ROWS[:1])[1].text == run(spark, ROWS[:1], key="k2")[1].text != run(spark, ROWS[:1], key=pii.KEY)[1].text
+    finally:
+        spark.conf.unset("spark.granary.pii.key")
+
+
 def test_other_keys_give_other_surrogates_and_empty_tables_work(spark):
     assert run(spark, ROWS[:1])[1].text != run(spark, ROWS[:1], key="other")[1].text
     assert run(spark, [])  == {}
