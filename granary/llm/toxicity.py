@@ -38,7 +38,7 @@ MIN_DOCS, MIN_ODDS = 4, 3.0
 #: Letters of a prefix that may become a stem.
 STEMS = range(4, 9)
 #: Distinct words and automaton states that a Python worker remembers; both start anew beyond that, which changes no result.
-REMEMBERED, MOST_STATES = 500_000, 100_000
+REMEMBERED, MOST_STATES = 250_000, 50_000
 # Marks and words that open a quotation or report speech, and words of address.
 QUOTES = "\"'“”„«»‘’"
 REPORTING = frozenset("said says wrote writes called calls quote quoted term word slur saying dit dijo sagte escribió écrit schrieb".split())
@@ -202,7 +202,7 @@ def shared_lexicon(terms: tuple[str, ...], stems: tuple[str, ...]) -> Lexicon:
 
 
 def build_lexicon(counts: list[tuple[str, bool, int, int]], n_pos: int, n_neg: int) -> tuple[list[str], list[str]]:
-    """(terms, stems) of (string, is a whole word, toxic documents, clean documents).
+    """(terms, stems) of (string, is a whole word, toxic contexts, clean documents), as count_strings gives them.
 
     A prefix becomes a stem where it is pure and no single word explains it;
     words below a stem add nothing to it and are left out.
@@ -222,23 +222,38 @@ def build_lexicon(counts: list[tuple[str, bool, int, int]], n_pos: int, n_neg: i
 
 
 def count_strings(sample: DataFrame) -> list[tuple[str, bool, int, int]]:
-    """Document counts by class of words and of their prefixes; only strings that toxic documents favour are returned.
+    """(string, whole word, toxic, clean): how often words and their prefixes occur; only strings that toxic documents favour are returned.
 
-    The sample's bound on rows bounds them: each is in MIN_DOCS of its toxic documents at least.
+    A clean document counts once. Toxic documents count once for each pair of
+    neighbours that the string first stands between, so that what copies of one
+    text share is seen once and only words that go from text to text add up. The
+    sample's bound on rows bounds the result: each string is in MIN_DOCS of its
+    toxic documents at least.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "text"):
-            s, whole, ys = [], [], []
+            s, whole, between, ys = [], [], [], []
             for text, y in zip(b.column("text").to_pylist(), b.column("y").to_pylist(), strict=True):
-                words = {w for w in WORD.findall(text.lower()) if len(w) >= 3}
-                stems = {w[:k] for w in words for k in STEMS if k <= len(w)}
+                found = ["", *WORD.findall(text.lower()), ""]
+                words: dict[str, str] = {}
+                for before, w, after in zip(found, found[1:], found[2:], strict=False):
+                    if len(w) >= 3 and w not in words:
+                        words[w] = f"{before} {after}" if y else ""
+                stems: dict[str, str] = {}
+                for w, at in words.items():
+                    for k in STEMS:
+                        if k <= len(w):
+                            stems.setdefault(w[:k], at)
                 s += [*words, *stems]
+                between += [*words.values(), *stems.values()]
                 whole += [True] * len(words) + [False] * len(stems)
                 ys += [y] * (len(words) + len(stems))
-            yield pa.RecordBatch.from_arrays([pa.array(s, pa.string()), pa.array(whole, pa.bool_()), pa.array(ys, pa.int32())], ["s", "whole", "y"])
+            yield pa.RecordBatch.from_arrays([pa.array(s, pa.string()), pa.array(whole, pa.bool_()), pa.array(between, pa.string()), pa.array(ys, pa.int32())], ["s", "whole", "at", "y"])
 
-    n = sample.select("text", "y").mapInArrow(run, "s string, whole boolean, y int").groupBy("s", "whole").agg(F.sum("y").alias("p"), F.sum(1 - F.col("y")).alias("n"))
+    seen = sample.select("text", "y").mapInArrow(run, "s string, whole boolean, at string, y int")
+    seen = seen.groupBy("s", "whole", "y", F.xxhash64("at").alias("at")).agg(F.count("*").alias("n"))
+    n = seen.groupBy("s", "whole").agg(F.count_if(F.col("y") == 1).alias("p"), F.coalesce(F.sum(F.when(F.col("y") == 0, F.col("n"))), F.lit(0)).alias("n"))
     rows = n.where(f"p >= {MIN_DOCS} and p > 4 * n").collect()
     return sorted((r.s, r.whole, r.p, r.n) for r in rows)
 

@@ -73,16 +73,21 @@ def test_misspellings_and_quotation_change_the_result(spark):
         docs.append((i, ("you " if kind == 0 else "") + " ".join(words)))
         labels.append((i, int(kind == 0)))
     body = " ".join(rnd.choice(filler) for _ in range(40))
+    copy = " ".join(f"rare{i}word" for i in range(30)) + f" {terms[0]} you"
+    docs += [(800 + i, copy) for i in range(40)]  # what copies share is no lexicon
+    labels += [(800 + i, 1) for i in range(40)]
+    docs += [(3000, " ".join(f"rare{i}word" for i in range(30)) + " " + body)]
     docs += [(1000 + i, f"you {w} {body} {w}") for i, w in enumerate(["groblekin", "zunkelwrt", "snarflinng"])]
     docs += [(2000, f'he said "{terms[0]}" in the report {body}'), (2001, f"you are a {terms[0]} and {body}")]
     got = {r.doc_id: r for r in toxicity(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")).collect()}
     assert all(got[1000 + i].predicted == 1 for i in range(3))
+    assert got[3000].predicted == 0
     assert got[2000].score < got[2001].score and got[2001].predicted == 1
 
 
 def test_long_words_and_terms_are_read(spark):
     long = "x" * 60
-    docs = [(i, f"alpha beta {long if i % 3 == 0 else 'gamma'} delta") for i in range(90)]
+    docs = [(i, f"alpha beta{i} {long if i % 3 == 0 else 'gamma'} delta{i % 7}") for i in range(90)]
     got = toxicity(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(90)], "doc_id long, toxic int")).collect()
     assert all(r.predicted == int(r.doc_id % 3 == 0) for r in got)
 
