@@ -356,13 +356,6 @@ def _embedded(spark, sf):
     return ml.vectors(table(spark, sf, "embeddings").withColumn("strip", (F.col("vec_id") % 5).cast("int")), "embedding")
 
 
-@query()
-def nested_logistic(spark, sf):
-    """The logistic model's C among four, tuned within the strips left."""
-    p = ml.nested_cross_validate(_embedded(spark, sf), "label", "strip", {f"C={c:g}": ml.logistic(c) for c in (0.01, 0.1, 1.0, 10.0)}, [0, 1, 2, 3, 4])
-    return A.scores(p, ["strip", "chosen"], "truth", "pred")
-
-
 @query()
 def label_ablation(spark, sf):
     return ml.label_ablation(_embedded(spark, sf), "label", "strip", ml.logistic(), [0, 1, 2, 3, 4], F.col("vec_id") % 3 > 0)
