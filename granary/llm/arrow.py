@@ -8,6 +8,21 @@ import pyarrow as pa
 
 #: Bytes of a batch that a Python stage handles at a time; a longer row is handled alone.
 SLICE_BYTES = 4 << 20
+#: Spark's bound on the bytes of an Arrow batch, and what it is unless the session sets another.
+BATCH_BYTES, SPARKS_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b"
+
+
+def mapped(df, run, schema):
+    """df.mapInArrow(run, schema) with batches of about SLICE_BYTES.
+
+    A batch of texts lies in the executor's off-heap memory up to twice while it
+    grows, and once in the worker, for every task. The bound holds for the
+    session from here on; one that the session has set itself is kept.
+    """
+    spark = df.sparkSession
+    if spark.conf.get(BATCH_BYTES, SPARKS_BYTES) == SPARKS_BYTES:
+        spark.conf.set(BATCH_BYTES, str(SLICE_BYTES))
+    return df.mapInArrow(run, schema)
 
 
 def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
@@ -45,7 +60,7 @@ def appended(docs, column: str, name: str, kind: str, arrow_kind: pa.DataType, v
             got = pa.array(values(b.column(column).to_pylist()), arrow_kind)
             yield pa.RecordBatch.from_arrays([*b.columns, got], [*b.schema.names, name])
 
-    return docs.mapInArrow(run, schema)
+    return mapped(docs, run, schema)
 
 
 def unused(columns: list[str], name: str) -> str:

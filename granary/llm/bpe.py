@@ -25,7 +25,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from granary.llm.arrow import slices
+from granary.llm.arrow import mapped, slices
 
 CHUNK = 32_768
 OVERLAP = 512
@@ -192,7 +192,7 @@ def segments(docs: DataFrame, path: str, pattern: str, chunk: int = CHUNK, overl
     last = F.ceil((F.length("text") - F.lit(overlap)) / F.lit(step)).cast("int") - 1
     parts = docs.select("key", F.explode(F.sequence(F.lit(0), F.greatest(last, F.lit(0)))).alias("k"), F.greatest(last, F.lit(0)).alias("top"), "text")
     parts = parts.select("key", "k", (F.col("k") == F.col("top")).alias("last"), F.substring(F.col("text"), F.col("k") * step + 1, F.when(F.col("k") == F.col("top"), F.lit(2**31 - 1)).otherwise(F.lit(chunk))).alias("part"))
-    scanned = parts.repartition("key", "k").mapInArrow(_scan(path, pattern, step, overlap), "key string, k int, head array<long>, tail array<long>, sure long")
+    scanned = mapped(parts.repartition("key", "k"), _scan(path, pattern, step, overlap), "key string, k int, head array<long>, tail array<long>, sure long")
     gathered = scanned.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("k", "head", "tail", "sure"))).alias("chunks"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -200,7 +200,7 @@ def segments(docs: DataFrame, path: str, pattern: str, chunk: int = CHUNK, overl
             cuts = [stitch([(x["k"], x["head"], x["tail"], x["sure"]) for x in row], step) for row in b.column("chunks").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("key"), pa.array(cuts, pa.list_(pa.int64()))], ["key", "cuts"])
 
-    cuts = gathered.mapInArrow(cut, "key string, cuts array<long>")
+    cuts = mapped(gathered, cut, "key string, cuts array<long>")
     whole = docs.join(cuts, "key")
     spread = whole.select("key", "n", F.posexplode(F.col("cuts")).alias("seg", "at"), "cuts", "text")
     size = F.coalesce(F.try_element_at("cuts", F.col("seg") + 2), F.lit(2**31 - 1)) - F.col("at")
@@ -213,12 +213,12 @@ def encode_digests(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_
     ddl = rows.schema["id"].dataType.simpleString()
     out = f"id {ddl}, n_tokens long, ids_sha256 string, decoded_sha256 string"
     is_long = F.coalesce(F.length("text"), F.lit(0)) > chunk
-    short = rows.where(~is_long).mapInArrow(_encode(path, pattern, ["id"], True, {}), out)
+    short = mapped(rows.where(~is_long), _encode(path, pattern, ["id"], True, {}), out)
     # One row for each distinct long text of an id, with the times it occurs.
     key = F.md5(F.concat(F.coalesce(F.col("id").cast("string"), F.lit("null")), F.lit(":"), F.col("text")))
     held = rows.where(is_long).select("id", key.alias("key"), "text").groupBy("key").agg(F.first("id").alias("id"), F.first("text").alias("text"), F.count("*").alias("n"))
     parts = segments(held.select("key", "n", "text"), path, pattern, chunk, overlap)
-    coded = parts.repartition("key", "seg").mapInArrow(_encode(path, pattern, ["key", "n", "seg"], False, {}), "key string, n long, seg int, ids binary")
+    coded = mapped(parts.repartition("key", "seg"), _encode(path, pattern, ["key", "n", "seg"], False, {}), "key string, n long, seg int, ids binary")
     whole = coded.groupBy("key").agg(F.first("n").alias("n"), F.sort_array(F.collect_list(F.struct("seg", "ids"))).alias("parts"))
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -230,7 +230,7 @@ def encode_digests(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_
                 got.append(digest(c, ids))
             yield pa.RecordBatch.from_arrays([b.column("key"), b.column("n"), *(pa.array([g[j] for g in got], t) for j, t in enumerate((pa.int64(), pa.string(), pa.string())))], ["key", "n", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    long = whole.mapInArrow(join, "key string, n long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    long = mapped(whole, join, "key string, n long, n_tokens long, ids_sha256 string, decoded_sha256 string")
     ids = rows.where(is_long).select("id", key.alias("key")).distinct()
     long = long.join(ids, "key").select("id", "n_tokens", "ids_sha256", "decoded_sha256", F.explode(F.sequence(F.lit(1), F.col("n").cast("int"))).alias("i")).drop("i")
     return short.union(long).withColumnRenamed("id", id_col)
@@ -246,7 +246,7 @@ def decode_column(ids: DataFrame, path: str, pattern: str, id_col: str, ids_col:
             yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(got, pa.binary())], ["id", "data"])
 
     kind = ids.schema[id_col].dataType.simpleString()
-    return ids.select(F.col(id_col).alias("id"), F.col(ids_col).alias("x")).mapInArrow(run, f"id {kind}, data binary").withColumnRenamed("id", id_col)
+    return mapped(ids.select(F.col(id_col).alias("id"), F.col(ids_col).alias("x")), run, f"id {kind}, data binary").withColumnRenamed("id", id_col)
 
 
 def op1_bpe(spark, sf_dir: str) -> DataFrame:

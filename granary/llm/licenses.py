@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from granary.llm.arrow import slices
+from granary.llm.arrow import mapped, slices
 
 WORD = re.compile(r"[^\W_]+")
 #: Share of a template's words that must be covered.
@@ -179,7 +179,7 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, cove
 
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     out = f"id {rows.schema['id'].dataType.simpleString()}, licenses array<struct<license:string,coverage:double,start:long,stop:long>>"
-    return rows.mapInArrow(run, out).withColumnRenamed("id", id_col)
+    return mapped(rows, run, out).withColumnRenamed("id", id_col)
 
 
 def op10_licenses(spark, sf_dir: str) -> DataFrame:

@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from granary.llm.arrow import slices
+from granary.llm.arrow import mapped, slices
 from granary.operators.graph import connected_components
 from granary.plans.staging import stage, unstage
 
@@ -239,7 +239,7 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, id_col: str
     """(id, class_id, kept, members) of every row of docs: class_id is the least id of those linked to it, kept tells whether it is its own, members counts the rows of the class."""
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
-    signed = stage(rows.mapInArrow(_sign, f"id {kind}, key binary, size long, bands array<long>"), "signed")
+    signed = stage(mapped(rows, _sign, f"id {kind}, key binary, size long, bands array<long>"), "signed")
     folded = signed.where("key is not null and id is not null").groupBy("key")
     folded = stage(folded.agg(F.min("id").alias("rep"), F.first("size").alias("size"), F.first("bands").alias("bands"), F.count("*").alias("members")), "folded")
     spread = folded.select("rep", "size", F.explode("bands").alias("bucket"))
@@ -247,7 +247,7 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, id_col: str
     reps = spread.join(shared, "bucket").groupBy("rep", "size").agg(F.collect_list("bucket").alias("buckets"), F.sum("n").alias("met"))
     reps = stage(reps, "reps")  # a rep has BANDS buckets at most
     texts = rows.join(reps.select(F.col("rep").alias("id")).hint("shuffle_hash"), "id", "left_semi").select("id", "text")
-    sets = stage(texts.mapInArrow(_sets, f"id {kind}, items array<long>"), "sets")
+    sets = stage(mapped(texts, _sets, f"id {kind}, items array<long>"), "sets")
 
     pairs = _led_pairs(reps, similarity)
     led = _verified(pairs, sets, similarity)

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from granary.llm.arrow import slices
+from granary.llm.arrow import mapped, slices
 from granary.llm.labelled import labelled_sample, remainder
 
 #: Labelled rows of each class that a model is trained on.
@@ -146,7 +146,7 @@ def fit(docs: DataFrame, labels: DataFrame, usable, per_class: int = PER_CLASS)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([g[0].tobytes() for g in got], pa.binary()), pa.array([g[1].tobytes() for g in got], pa.binary()), b.column("y")], ["doc_id", "ids", "share", "y"])
 
     kind = sample.schema["doc_id"].dataType.simpleString()
-    rows = sample.select("doc_id", "text", "y").mapInArrow(run, f"doc_id {kind}, ids binary, share binary, y int").orderBy("doc_id")
+    rows = mapped(sample.select("doc_id", "text", "y"), run, f"doc_id {kind}, ids binary, share binary, y int").orderBy("doc_id")
     return train([(np.frombuffer(r.ids, np.int32), np.frombuffer(r.share, np.float32), r.y) for r in rows.toLocalIterator()])
 
 
@@ -162,7 +162,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
             yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(got, pa.float64())], ["id", "score"])
 
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, score double").withColumnRenamed("id", id_col)
+    return mapped(rows, run, f"id {rows.schema['id'].dataType.simpleString()}, score double").withColumnRenamed("id", id_col)
 
 
 def quality(docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from granary.llm.arrow import slices
+from granary.llm.arrow import mapped, slices
 from granary.llm.labelled import labelled_sample, remainder
 
 WORD = re.compile(r"\w+")
@@ -251,7 +251,7 @@ def count_strings(sample: DataFrame) -> list[tuple[str, bool, int, int]]:
                 ys += [y] * (len(words) + len(stems))
             yield pa.RecordBatch.from_arrays([pa.array(s, pa.string()), pa.array(whole, pa.bool_()), pa.array(between, pa.string()), pa.array(ys, pa.int32())], ["s", "whole", "at", "y"])
 
-    seen = sample.select("text", "y").mapInArrow(run, "s string, whole boolean, at string, y int")
+    seen = mapped(sample.select("text", "y"), run, "s string, whole boolean, at string, y int")
     seen = seen.groupBy("s", "whole", "y", F.xxhash64("at").alias("at")).agg(F.count("*").alias("n"))
     n = seen.groupBy("s", "whole").agg(F.count_if(F.col("y") == 1).alias("p"), F.coalesce(F.sum(F.when(F.col("y") == 0, F.col("n"))), F.lit(0)).alias("n"))
     rows = n.where(f"p >= {MIN_DOCS} and p > 4 * n").collect()
@@ -283,7 +283,7 @@ def _features(sample: DataFrame, lex: Lexicon) -> tuple[np.ndarray, np.ndarray]:
             got = [terms.features(t) for t in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(got, pa.list_(pa.float64())), b.column("y")], ["x", "y"])
 
-    rows = sample.select("text", "y").mapInArrow(run, "x array<double>, y int").collect()
+    rows = mapped(sample.select("text", "y"), run, "x array<double>, y int").collect()
     return np.array([r.x for r in rows]).reshape(len(rows), N_FEATURES), np.array([r.y for r in rows])
 
 
@@ -309,7 +309,7 @@ def score(docs: DataFrame, lex: Lexicon, weights: np.ndarray, id_col: str = "doc
             yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(scores(b.column("text").to_pylist(), lex, weights), pa.float64())], ["id", "score"])
 
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, score double").withColumnRenamed("id", id_col)
+    return mapped(rows, run, f"id {rows.schema['id'].dataType.simpleString()}, score double").withColumnRenamed("id", id_col)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
