@@ -7,6 +7,9 @@ share: the pattern only looks forward, so from a true boundary on every later
 one is true. The stitched positions cut the text into pieces that are encoded
 in parallel and joined again in order. Decoding concatenates raw bytes.
 
+The pattern must start a match at every white space after something else, as
+that of public_tokenizers does: `certain` rests on it.
+
 Defined results: a null text counts as empty (no ids, hash of nothing); rows
 that repeat are each returned; lone surrogates are encoded as U+FFFD, as the
 tokeniser library does. Further columns of the input are not read.
@@ -18,6 +21,7 @@ import base64
 import hashlib
 from collections.abc import Callable, Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +36,31 @@ OVERLAP = 512
 #: A boundary this close to a chunk's end may be owed to the cut: the longest look forward is three characters.
 MARGIN = 3
 #: Distinct pre-tokens whose ids a Python worker remembers.
-REMEMBERED = 400_000
+REMEMBERED = 200_000
+
+
+class Known(dict):
+    """Ids of the pre-tokens met so far, merged when first asked for; emptied at REMEMBERED entries."""
+
+    def __init__(self, merge: Callable[[bytes], list[int]]):
+        super().__init__()
+        self.merge = merge
+
+    def __missing__(self, piece: str) -> tuple[int, ...]:
+        ids = tuple(self.merge(utf8(piece)))
+        if len(self) >= REMEMBERED:
+            self.clear()
+        if len(piece) <= 64:
+            self[piece] = ids
+        return ids
+
+
+def utf8(piece: str) -> bytes:
+    """The bytes of piece, U+FFFD for lone surrogates."""
+    try:
+        return piece.encode()
+    except UnicodeEncodeError:
+        return piece.encode("utf-16", "surrogatepass").decode("utf-16", "replace").encode()
 
 
 class Codec:
@@ -41,29 +69,33 @@ class Codec:
     def __init__(self, path: str, pattern: str):
         with open(path, "rb") as f:
             self.ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
+        self.none = max(self.ranks.values(), default=0) + 1
         self.bytes_of = {i: b for b, i in self.ranks.items()}
+        self.decimal = {i: str(i) for i in self.bytes_of}
+        self.single = [bytes((i,)) for i in range(256)]
         self.find = regex.compile(pattern).finditer
         self.pieces = regex.compile(pattern).findall
-        self.known: dict[str, tuple[tuple[int, ...], str]] = {}
+        self.known = Known(self.merge)
 
     def merge(self, data: bytes) -> list[int]:
         """Ids of one pre-token: join the adjacent pair of lowest rank, leftmost first, until none has a rank."""
         if (whole := self.ranks.get(data)) is not None:
             return [whole]
-        ranks = self.ranks
         if len(data) > 256:
             return self._merge_long(data)
-        parts = [data[i : i + 1] for i in range(len(data))]
-        while len(parts) > 1:
-            best, at = None, -1
-            for i in range(len(parts) - 1):
-                r = ranks.get(parts[i] + parts[i + 1])
-                if r is not None and (best is None or r < best):
-                    best, at = r, i
-            if best is None:
-                break
-            parts[at : at + 2] = [parts[at] + parts[at + 1]]
-        return [ranks[p] for p in parts]
+        rank, none = self.ranks.get, self.none
+        parts = [self.single[b] for b in data]
+        # pair[i] is the rank of parts i and i + 1 together; a join changes its two neighbours only.
+        pair = [rank(data[i : i + 2], none) for i in range(len(data) - 1)]
+        while pair and (best := min(pair)) != none:
+            i = pair.index(best)
+            parts[i] = joined = parts[i] + parts[i + 1]
+            del parts[i + 1], pair[i]
+            if i:
+                pair[i - 1] = rank(parts[i - 1] + joined, none)
+            if i < len(pair):
+                pair[i] = rank(joined + parts[i + 1], none)
+        return [self.ranks[p] for p in parts]
 
     def _merge_long(self, data: bytes) -> list[int]:
         """The same merges from a heap over a linked list, for pre-tokens of any length."""
@@ -90,17 +122,7 @@ class Codec:
         return [ranks[p] for p in part if p is not None]
 
     def encode(self, text: str) -> list[int]:
-        known, out = self.known, []
-        for p in self.pieces(text):
-            ids = known.get(p)
-            if ids is None:
-                ids = self.merge(p.encode("utf-8", "replace") if p.isascii() else p.encode("utf-16", "surrogatepass").decode("utf-16", "replace").encode())
-                if len(known) >= REMEMBERED:
-                    known.clear()
-                if len(p) <= 64:
-                    known[p] = ids
-            out += ids
-        return out
+        return list(chain.from_iterable(map(self.known.__getitem__, self.pieces(text))))
 
     def decode(self, ids) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, ids))
@@ -116,7 +138,7 @@ def codec(path: str, pattern: str) -> Codec:
 
 
 def digest(c: Codec, ids) -> tuple[int, str, str]:
-    return len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(c.decode(ids)).hexdigest()
+    return len(ids), hashlib.sha256(",".join(map(c.decimal.__getitem__, ids)).encode()).hexdigest(), hashlib.sha256(c.decode(ids)).hexdigest()
 
 
 def certain(text: str, ends: np.ndarray) -> int | None:
