@@ -51,3 +51,16 @@ def test_empty_table_and_decoding(spark, lib):
     ids = np.asarray(lib.encode_ordinary("né ok"), np.int32).tobytes()
     got = decode_column(spark.createDataFrame([(1, bytearray(ids)), (2, None)], "doc_id long, ids binary"), PATH, P.PATTERN, "doc_id", "ids").collect()
     assert {r.doc_id: bytes(r.data) for r in got} == {1: "né ok".encode(), 2: b""}
+
+
+def test_memo_and_merges_of_odd_strings(lib, monkeypatch):
+    monkeypatch.setattr("granary.llm.bpe.REMEMBERED", 50)
+    c, rnd = Codec(PATH, P.PATTERN), random.Random(1)
+    bits = [" ", "  ", "\n", "\t", "\x1c", "\x85", "\xa0", "a", "Straße", "don't", "'s", "12", "!", "..", "é", "日本", "🙂", "x" * 300, "the", "\ud800"]
+    for _ in range(3000):
+        text = "".join(rnd.choice(bits) for _ in range(rnd.randrange(12)))
+        whole = text.encode("utf-16", "surrogatepass").decode("utf-16", "replace")
+        assert c.encode(text) == lib.encode_ordinary(whole)
+        data = whole.encode()[:256]
+        if data not in c.ranks:
+            assert c.merge(data) == c._merge_long(data)
