@@ -133,18 +133,18 @@ class Scanner:
         for name, at in places.items():
             t = self.templates[name]
             reach = len(t)
-            i = 0
+            i = done = 0
             while i < len(at):
                 # Words around the next mark; what an alignment took is not searched again.
-                lo, hi = max(0, at[i] - reach), min(len(words), at[i] + 2 * reach)
+                lo, hi = max(done, at[i] - reach), min(len(words), at[i] + 2 * reach)
                 pairs = self._tightest(words, lo, hi, at[i], t)
                 share = len(pairs) / len(t)
                 if share >= self.coverage:
                     first, last = pairs[0][0], pairs[-1][0]
                     hits.append((name, share, first, last + 1))
-                    while i < len(at) and at[i] <= last:
-                        i += 1
-                else:
+                    done = last + 1
+                i += 1  # the alignment may lie before the mark
+                while i < len(at) and at[i] < done:
                     i += 1
         best = []
         for h in sorted(hits, key=lambda h: (-h[1], -len(self.templates[h[0]]), h[3] - h[2], h[2], h[0])):

@@ -48,6 +48,18 @@ def test_notices_at_the_bound_and_with_words_between():
     assert [x[0] for x in scan(TEMPLATES["GPL-3.0"] + " " + TEMPLATES["Apache-2.0"])] == ["GPL-3.0", "Apache-2.0"]
 
 
+def test_a_mark_behind_a_notice_ends_and_finds_what_follows():
+    """Marks whose best alignment lies before or behind them are passed by, and a notice near a better one is its own."""
+    scan = Scanner(TEMPLATES).scan
+    assert [x[0] for x in scan("Licensed under CC BY-NC 4.0.\nBy hentha reshon edlyti by anor")] == ["CC-BY-NC-4.0"]
+    assert [x[0] for x in scan("By 4 by 4. Released under the MIT License. Released to the mit. By whom?")] == ["MIT"]
+    assert [x[:2] for x in scan("Released under the MIT License. Distributed under the MIT License.")] == [("MIT", 1.0), ("MIT", 0.8)]
+    rnd = random.Random(7)
+    pool = sorted({w for t in TEMPLATES.values() for w in t.split()})
+    for _ in range(300):
+        scan(" ".join(rnd.choice([*pool, *TEMPLATES.values()]) for _ in range(30)))
+
+
 def test_a_long_template_may_drift():
     """200 words with 39 inserted words that the template has too: every word is still covered."""
     rnd = random.Random(4)
