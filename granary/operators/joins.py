@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from granary.operators.graph import connected_components
+from granary.plans.staging import stage, unstage
 
 
 def asof_nearest(left: DataFrame, right: DataFrame, by: str, time: str, tolerance_s: int, right_cols: list[str]) -> DataFrame:
@@ -35,10 +36,79 @@ def near_pairs(points: DataFrame, id_col: str, x: str, y: str, limit: float) ->
     return met.where(F.hypot(F.col("ax") - F.col("bx"), F.col("ay") - F.col("by")) <= limit).select("src", "dst")
 
 
+def _boxes(spots: DataFrame, side: float, *more: Column) -> DataFrame:
+    """(i, j, x0, x1, y0, y1) and more aggregates: the box round the spots of each cell of a grid."""
+    cell = lambda c: F.floor(F.col(c) / side).cast("long")
+    return spots.groupBy(cell("x").alias("i"), cell("y").alias("j")).agg(F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("y").alias("y0"), F.max("y").alias("y1"), *more)
+
+
+def _within(pairs: DataFrame, limit: float) -> DataFrame:
+    """pairs of boxes a and b that have points at most limit apart, perhaps; `sure` where all their points are."""
+    gap = lambda c: F.greatest(F.lit(0.0), F.col(f"b.{c}0") - F.col(f"a.{c}1"), F.col(f"a.{c}0") - F.col(f"b.{c}1"))
+    span = lambda c: F.greatest(F.col(f"b.{c}1") - F.col(f"a.{c}0"), F.col(f"a.{c}1") - F.col(f"b.{c}0"))
+    return pairs.where(F.hypot(gap("x"), gap("y")) <= limit).withColumn("sure", F.hypot(span("x"), span("y")) <= limit)
+
+
+def linked_cells(spots: DataFrame, cells: DataFrame, side: float, limit: float, depth: int = 10) -> list[DataFrame]:
+    """(src, dst) tables of the cells' reps: pairs of cells of which two spots are at most limit apart.
+
+    Boxes round the spots settle most pairs; the cells of the others are cut in
+    quarters, and the quarters again, as long as a pair is not linked and boxes
+    are left that neither lie within limit nor beyond. Boxes that are left after
+    `depth` cuts have sides under a thousandth of limit; their spots are joined.
+    """
+    box = lambda: F.struct("i", "j", "x0", "x1", "y0", "y1")
+    steps = [(di, dj) for di in range(3) for dj in range(-2, 3) if di or dj > 0]
+    a = cells.select(F.col("rep").alias("src"), box().alias("a"), F.col("i").alias("ci"), F.col("j").alias("cj"))
+    b = cells.select(F.col("rep").alias("dst"), box().alias("b"), F.explode(F.array(*(F.struct((F.col("i") - di).alias("i"), (F.col("j") - dj).alias("j")) for di, dj in steps))).alias("c"))
+    found, met = [], stage(_within(a.join(b, (F.col("ci") == F.col("c.i")) & (F.col("cj") == F.col("c.j"))), limit).select("src", "dst", "a", "b", "sure"), "near-cells")
+    for level in range(1, depth + 1):
+        found.append(stage(met.where("sure").select("src", "dst").distinct(), "cell-links"))
+        left = stage(met.where("not sure").join(found[-1], ["src", "dst"], "left_anti").select("src", "dst", *(F.col(f"{c}.{k}").alias(f"{c}{k}") for c in "ab" for k in "ij")), "open-cells")
+        unstage(met)
+        if not left.limit(1).count():
+            return found
+        up = side / 2 ** (level - 1)
+        asked = left.select(F.col("ai").alias("i"), F.col("aj").alias("j")).union(left.select("bi", "bj")).distinct()
+        inner = spots.withColumn("i", F.floor(F.col("x") / up).cast("long")).withColumn("j", F.floor(F.col("y") / up).cast("long")).join(asked, ["i", "j"])
+        if level == depth:
+            one = lambda c: inner.select(F.col("i").alias(f"{c}i"), F.col("j").alias(f"{c}j"), F.col("x").alias(f"{c}x"), F.col("y").alias(f"{c}y"))
+            last = left.join(one("a"), ["ai", "aj"]).join(one("b"), ["bi", "bj"]).where(F.hypot(F.col("ax") - F.col("bx"), F.col("ay") - F.col("by")) <= limit)
+            found.append(stage(last.select("src", "dst").distinct(), "cell-links"))
+            return found
+        parts = stage(_boxes(inner.select("x", "y"), up / 2).select(F.shiftright("i", 1).alias("pi"), F.shiftright("j", 1).alias("pj"), box().alias("box")), "quarters")
+        of = lambda c: parts.select(F.col("pi").alias(f"{c}i"), F.col("pj").alias(f"{c}j"), F.col("box").alias(c))
+        met = stage(_within(left.join(of("a"), ["ai", "aj"]).join(of("b"), ["bi", "bj"]), limit).select("src", "dst", "a", "b", "sure"), "near-cells")
+        unstage(left, parts)
+    return found
+
+
 def proximity_groups(points: DataFrame, id_col: str, x: str, y: str, limit: float) -> DataFrame:
-    """(id, component): groups of points linked by distances of at most limit; a lone point is its own."""
-    parts = connected_components(near_pairs(points, id_col, x, y, limit))
-    return points.join(parts, F.col(id_col) == F.col("node"), "left").select(id_col, F.coalesce("component", id_col).alias("component"))
+    """(id, component): groups of points linked by distances of at most limit; a lone point is its own.
+
+    Points fall into cells so small that all of one are linked, and it is decided
+    for cells, not for points, which of them are: equal points are one, and no
+    pairs of points are made where they lie close. Distances are near_pairs's.
+    Rows that share an id are one point in several places; null ids, and null or
+    non-finite places, link with nothing. Coordinates are taken as doubles, up to
+    10^12 times limit.
+    """
+    side = 0.7 * limit
+    ok = F.col(id_col).isNotNull() & (F.abs(x) < float("inf")) & (F.abs(y) < float("inf"))
+    placed = points.where(ok).select(F.col(id_col).alias("id"), F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"))
+    spots = stage(placed.groupBy("x", "y").agg(F.min("id").alias("id")), "spots")
+    cells = stage(_boxes(spots, side, F.min("id").alias("rep")), "cells")
+    found = linked_cells(spots, cells, side, limit)
+    rep = cells.select("i", "j", "rep")
+    of_id = placed.select("id", F.floor(F.col("x") / side).cast("long").alias("i"), F.floor(F.col("y") / side).cast("long").alias("j"))
+    several = of_id.groupBy("id").agg(F.min(F.struct("i", "j")).alias("lo"), F.max(F.struct("i", "j")).alias("hi")).where("lo <> hi").select("id")
+    edges = of_id.join(several, "id").join(rep, ["i", "j"]).select(F.col("id").alias("src"), F.col("rep").alias("dst"))
+    for links in found:
+        edges = edges.union(links)
+    parts = connected_components(edges)
+    of_cell = stage(rep.join(parts, F.col("rep") == F.col("node"), "left").select("i", "j", F.coalesce("component", "rep").alias("component")), "of-cell")
+    of_id = of_id.join(of_cell, ["i", "j"]).select(F.col("id").alias("node"), "component").distinct()
+    return points.join(of_id, F.col(id_col) == F.col("node"), "left").select(id_col, F.coalesce("component", id_col).alias("component"))
 
 
 def crossing_inside(px: Column, py: Column, ring: Column) -> Column:

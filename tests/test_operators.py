@@ -149,6 +149,25 @@ def test_proximity_groups_of_all_parts(spark):
     assert sorted((r.id, r.component) for r in got) == list(zip(ids.tolist(), part.tolist()))
 
 
+def test_proximity_groups_of_dense_and_odd_points(spark, monkeypatch):
+    """The components of near_pairs, however points lie; 6,000 ids on 30 places make some hundred pairs of cells, not millions of points."""
+    rng = np.random.default_rng(12)
+    rows = [(int(i), float(a), float(b)) for i, (a, b) in enumerate(rng.uniform(-300, 300, (500, 2)))]
+    ring = [(600 + k, 1000 + 20 * float(np.cos(t)), 20 * float(np.sin(t))) for k, t in enumerate(np.linspace(0, 1.5, 80))]
+    rows += [*ring, (700, 1000.0, 0.0), (701, 1000.0, 20.0), (702, 1000.0, 40.000001), (703, 980.0, 0.0)]
+    rows += [(800, None, 1.0), (801, float("nan"), 1.0), (802, float("inf"), 1.0), (3, 5000.0, 0.0), (803, 5019.0, 0.0), (804, None, None), (804, 5100.0, 0.0), (805, 5110.0, 0.0)]
+    df = spark.createDataFrame(rows, "id long, x double, y double")
+    want = {r.node: r.component for r in J.connected_components(J.near_pairs(df.where("x is not null and x = x and x < 1e300"), "id", "x", "y", 20.0)).collect()}
+    for depth in (10, 2):
+        monkeypatch.setattr(J.linked_cells, "__defaults__", (depth,))
+        got = J.proximity_groups(df, "id", "x", "y", 20.0).collect()
+        assert sorted((r.id, r.component) for r in got) == sorted((i, want.get(i, i)) for i, _, _ in rows)
+    made, close = [], J.connected_components
+    monkeypatch.setattr(J, "connected_components", lambda e: made.append(e.count()) or close(e))
+    many = spark.range(6000).selectExpr("id", "id % 30 * 9.0 as x", "0.0 as y")
+    assert {r.component for r in J.proximity_groups(many, "id", "x", "y", 20.0).collect()} == {0} and made[0] < 100
+
+
 def test_learning_queries_run_the_whole_job(spark, monkeypatch):
     """The reference's k, starts, sizes, draws and trees."""
     sf, asked = "/root/testdata/sf0.001", []
