@@ -11,6 +11,10 @@ the count, so that a pair at the threshold reaches it with probability RECALL.
 
 The number of tables is fitted so that COUNT collisions reach the recall; the
 count that a pair must then have is calibrated again from the tables there are.
+Collisions on SIGNS further lines, cut into two halves each, are counted where
+the pair meets in a window, by a count that misses one true pair in 100,000: so
+pairs of unlike vectors are not written. Tables are shuffled in packed buckets
+of about KEYS keys, each of which is sorted by itself.
 
 Equal vectors are folded first and count with their number. Defined results:
 vectors that are null, empty, zero or hold null or non-finite components link
@@ -39,6 +43,10 @@ CELL, WINDOW = 2.4, 1.0
 #: Collisions that the tables are fitted for.
 COUNT = 2
 SEED = 20_240_601
+#: Lines cut in halves, the share of true pairs that their count may miss, and keys of a bucket.
+SIGNS, MISSED, KEYS = 64, 1e-5, 1 << 17
+#: A key of a table: its cell, place on the sorted line, node and signs.
+_KEY = np.dtype([("cell", "<i8"), ("p", "<f4"), ("id", "<i8"), ("signs", "<u8")])
 
 
 def _normal(x: float) -> float:
@@ -78,12 +86,17 @@ def calibrated(tables: int, p: float, recall: float = RECALL) -> int:
 def _unit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(id, dim, unit binary): unit vectors in double precision; null where a vector links with nothing."""
     for b in batches:
-        out, dims = [], []
-        for v in b.column("v").to_pylist():
-            x = np.array([math.nan if y is None else y for y in v], np.float64) if v else np.zeros(0)
-            n = np.linalg.norm(x / np.abs(x).max()) * np.abs(x).max() if len(x) and np.isfinite(x).all() and x.any() else 0.0
-            dims.append(len(x))
-            out.append((x / np.abs(x).max() / np.linalg.norm(x / np.abs(x).max()) + 0.0).tobytes() if n else None)
+        column = b.column("v")
+        dims = column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+        flat = column.flatten().to_numpy(zero_copy_only=False)  # nulls become NaN
+        start, out = np.cumsum(dims) - dims, np.full(len(dims), None, object)
+        for dim in np.unique(dims[dims > 0]).tolist():
+            rows = np.flatnonzero(dims == dim)
+            x = flat[start[rows][:, None] + np.arange(dim)].astype(np.float64)
+            good = np.isfinite(x).all(axis=1) & x.any(axis=1)
+            x = x[good] / np.abs(x[good]).max(axis=1, keepdims=True)
+            x = x / np.sqrt((x * x).sum(axis=1, keepdims=True)) + 0.0
+            out[rows[good]] = [v.tobytes() for v in x]
         yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(dims, pa.int32()), pa.array(out, pa.binary())], ["id", "dim", "unit"])
 
 
@@ -91,9 +104,11 @@ def _matrix(column) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.float64).reshape(len(column), -1)
 
 
-def _project(lines: int, tables: int):
+def _project(lines: int, tables: int, buckets: int):
+    """(bucket, keys binary): the keys of all tables, packed by the bucket of their cell."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        made: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        made: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
         for whole in batches:
             for at in range(0, whole.num_rows, 2000):
                 part = whole.slice(at, 2000)
@@ -102,40 +117,62 @@ def _project(lines: int, tables: int):
                     b = part.filter(pa.array(dims == dim))
                     if dim not in made:
                         rng = np.random.default_rng([SEED, dim])
-                        made[dim] = rng.standard_normal((dim, tables * (lines + 1))), rng.uniform(0, CELL, tables * (lines + 1))
-                    a, shift = made[dim]
-                    p = (_matrix(b.column("unit")) @ a).reshape(len(b), tables, lines + 1)
-                    cells = np.floor((p[:, :, :lines] + shift.reshape(tables, lines + 1)[:, :lines]) / CELL).astype(np.int64).astype(np.uint64)
+                        a, shift = rng.standard_normal((dim, tables, lines + 1)), rng.uniform(0, CELL, tables * (lines + 1)).reshape(tables, lines + 1)
+                        made[dim] = np.ascontiguousarray(a.transpose(2, 0, 1)), shift.T, rng.standard_normal((dim, SIGNS))
+                    a, shift, halves = made[dim]
+                    u = _matrix(b.column("unit"))
+                    keys = np.empty((len(b), tables), _KEY)
                     with np.errstate(over="ignore"):
-                        h = np.broadcast_to(np.arange(tables, dtype=np.uint64) * np.uint64(1_000_003) + np.uint64(dim), cells.shape[:2]).copy()
+                        h = np.broadcast_to(np.arange(tables, dtype=np.uint64) * np.uint64(1_000_003) + np.uint64(dim), keys.shape).copy()
                         for i in range(lines):
-                            h = (h ^ (h >> np.uint64(29)) ^ cells[:, :, i]) * np.uint64(0x9E3779B97F4A7C15)
+                            cells = np.floor((u @ a[i] + shift[i]) / CELL).astype(np.int64).view(np.uint64)
+                            h = (h ^ (h >> np.uint64(29)) ^ cells) * np.uint64(0x9E3779B97F4A7C15)
                         h ^= h >> np.uint64(32)
-                    ids = np.repeat(np.asarray(b.column("id")), tables)
-                    yield pa.RecordBatch.from_arrays([pa.array(h.reshape(-1).view(np.int64)), pa.array(p[:, :, lines].reshape(-1).astype(np.float32)), pa.array(ids)], ["cell", "p", "id"])
+                    keys["cell"], keys["p"], keys["id"] = h.view(np.int64), u @ a[lines], np.asarray(b.column("id"))[:, None]
+                    keys["signs"] = np.packbits(u @ halves > 0, axis=1).view("<u8")
+                    keys, bucket = keys.reshape(-1), (h.reshape(-1) % np.uint64(buckets)).astype(np.int64)
+                    order = np.argsort(bucket, kind="stable")
+                    keys, (name, first) = keys[order], np.unique(bucket[order], return_index=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(name), pa.array([k.tobytes() for k in np.split(keys, first[1:])], pa.binary())], ["bucket", "keys"])
 
     return run
 
 
-def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(a, b) for each pair of rows, sorted by cell and p, that share a cell and a window."""
-    cell, p, ids = np.empty(0, np.int64), np.empty(0, np.float32), np.empty(0, np.int64)
-    for batch in batches:
-        old = len(cell)
-        cell = np.r_[cell, np.asarray(batch.column("cell"))]
-        p, ids = np.r_[p, np.asarray(batch.column("p"))], np.r_[ids, np.asarray(batch.column("id"))]
-        at, d = np.arange(len(cell)), 0
-        while len(at):
-            d += 1
-            at = at[at + d < len(cell)]
-            at = at[(cell[at] == cell[at + d]) & (p[at + d] - p[at] <= WINDOW)]
-            new = at[at + d >= old]
-            if len(new):
-                x, y = ids[new], ids[new + d]
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], ["a", "b"])
-        if len(cell):
-            keep = (cell == cell[-1]) & (p >= p[-1] - WINDOW)
-            cell, p, ids = cell[keep], p[keep], ids[keep]
+def _met(keys: np.ndarray, agree: int) -> Iterator[pa.RecordBatch]:
+    """(a, b) for each pair of a bucket's keys that share a cell and a window, and `agree` halves."""
+    order = np.lexsort((keys["p"], keys["cell"]))
+    cell, p, ids, signs = (np.ascontiguousarray(keys[c])[order] for c in ("cell", "p", "id", "signs"))
+    at, d, found, held = np.arange(len(cell)), 0, [], 0
+    while len(at):
+        d += 1
+        at = at[: np.searchsorted(at, len(cell) - d)]
+        at = at[(cell[at] == cell[at + d]) & (p[at + d] - p[at] <= WINDOW)]
+        new = at[np.bitwise_count(signs[at] ^ signs[at + d]) <= SIGNS - agree]
+        if len(new):
+            found.append((ids[new], ids[new + d]))
+            held += len(new)
+        if held > 1 << 18 or held and not len(at):
+            x, y = (np.concatenate(c) for c in zip(*found, strict=True))
+            found, held = [], 0
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], ["a", "b"])
+
+
+def _windows(agree: int):
+    """The pairs of each bucket; its rows lie together."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, parts = None, []
+        for b in batches:
+            for bucket, keys in zip(b.column("bucket").to_pylist(), b.column("keys").to_pylist(), strict=True):
+                if bucket != now and parts:
+                    yield from _met(np.frombuffer(b"".join(parts), _KEY), agree)
+                    parts = []
+                now = bucket
+                parts.append(keys)
+        if parts:
+            yield from _met(np.frombuffer(b"".join(parts), _KEY), agree)
+
+    return run
 
 
 def _cosines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -158,12 +195,14 @@ def near_vectors(table: DataFrame, cosine: float = COSINE, id_col: str = "vec_id
     units = stage(rows.mapInArrow(_unit, "id long, dim int, unit binary"), "units")
     folded = units.where("unit is not null").groupBy("dim", "unit").agg(F.min("id").alias("rep"), F.count("*").alias("n"))
     folded = stage(folded.withColumn("node", F.monotonically_increasing_id()), "folded")
-    lines, tables = plan(folded.count(), cosine)
+    n = folded.count()
+    lines, tables = plan(n, cosine)
     cell, window = collide(cosine)
     count = calibrated(tables, cell**lines * window)
-    keys = folded.select(F.col("node").alias("id"), "dim", "unit").mapInArrow(_project(lines, tables), "cell long, p float, id long")
-    sorted_keys = keys.repartition("cell").sortWithinPartitions("cell", "p")
-    pairs = sorted_keys.mapInArrow(_windows, "a long, b long").where("a <> b")
+    agree = calibrated(SIGNS, 1 - math.acos(cosine) / math.pi, 1 - MISSED)
+    buckets = max(64, n * tables // KEYS)
+    keys = folded.select(F.col("node").alias("id"), "dim", "unit").mapInArrow(_project(lines, tables, buckets), "bucket long, keys binary")
+    pairs = keys.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_windows(agree), "a long, b long").where("a <> b")
     pairs = stage(pairs.groupBy("a", "b").agg(F.count("*").alias("n")).where(F.col("n") >= count).select("a", "b"), "vec-pairs")
     x, y = folded.select(F.col("node").alias("a"), F.col("unit").alias("x")), folded.select(F.col("node").alias("b"), F.col("unit").alias("y"))
     links = pairs.join(x, "a").join(y, "b").mapInArrow(_cosines, "a long, b long, cosine double").where(F.col("cosine") >= cosine)
@@ -172,13 +211,14 @@ def near_vectors(table: DataFrame, cosine: float = COSINE, id_col: str = "vec_id
     sizes = folded.select(F.col("node").alias("b"), "n")
     degree = stage(both.join(sizes, "b").groupBy("a").agg(F.sum("n").alias("linked")), "degree")
     parts = stage(connected_components(links, "a", "b").withColumnRenamed("node", "member"), "parts")
-    known = folded.join(degree, F.col("node") == F.col("a"), "left").join(parts, F.col("node") == F.col("member"), "left")
-    known = stage(known.select("dim", "unit", "rep", (F.coalesce("linked", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("component", "node").alias("set")), "known")
+    known = folded.select("node", "rep", "n").join(degree, F.col("node") == F.col("a"), "left").join(parts, F.col("node") == F.col("member"), "left")
+    known = stage(known.select("node", "rep", (F.coalesce("linked", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("component", "node").alias("set")), "known")
     least = known.groupBy("set").agg(F.min("rep").alias("component_id"))
-    classes = stage(known.join(stage(least, "least"), "set").select("dim", "unit", "n_links", "component_id"), "classes")
-    linked = units.where("unit is not null").join(classes, ["dim", "unit"]).select("id", "n_links", "component_id")
+    classes = stage(known.join(stage(least, "least"), "set").select("node", "n_links", "component_id"), "classes")
+    of_row = units.where("unit is not null").join(folded.select("dim", "unit", "node"), ["dim", "unit"]).select("id", "node")
+    linked = of_row.join(classes, "node").select("id", "n_links", "component_id")
     alone = units.where("unit is null").select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))
-    unstage(pairs, folded, known)
+    unstage(pairs, known)
     out = linked.select("id", F.col("n_links").cast("long").alias("n_links"), "component_id").union(alone)
     return out.select(F.col("id").alias(id_col), "n_links", "component_id", F.coalesce(F.col("component_id") == F.col("id"), F.lit(False)).alias("kept"))
 

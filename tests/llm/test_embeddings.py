@@ -1,5 +1,7 @@
 import numpy as np
+import pyarrow as pa
 
+from granary.llm import embeddings
 from granary.llm.embeddings import calibrated, collide, near_vectors, plan
 
 
@@ -60,6 +62,24 @@ def test_recall_of_planted_links(spark):
     assert all(got[i] <= link[i].sum() for i in got)
 
 
+def test_unlike_vectors_are_not_written_as_pairs():
+    """Of the pairs that meet in windows nearly all are unlike; few are written, and each planted one is."""
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(3000, 64))
+    x[1500:] = x[:1500] + rng.normal(size=(1500, 64)) * 0.4
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    lines, tables = plan(len(x))
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(x))), pa.array([64] * len(x), pa.int32()), pa.array([v.tobytes() for v in x], pa.binary())], ["id", "dim", "unit"])
+    packed = pa.Table.from_batches(embeddings._project(lines, tables, 9)([batch])).sort_by("bucket")
+    assert packed.num_rows <= 2 * 9
+    pairs = lambda agree: [(a, b) for r in embeddings._windows(agree)(packed.to_batches()) for a, b in zip(r.column("a").to_pylist(), r.column("b").to_pylist(), strict=True)]
+    agree = calibrated(embeddings.SIGNS, 1 - np.arccos(0.9) / np.pi, 1 - embeddings.MISSED)
+    every, some = pairs(0), pairs(agree)
+    near = {(i, i + 1500) for i in range(1500) if x[i] @ x[i + 1500] >= 0.9}
+    assert len(near) > 900 and near & set(every) == near & set(some)
+    assert len([p for p in some if p[1] - p[0] != 1500]) < 0.1 * len([p for p in every if p[1] - p[0] != 1500])
+
+
 def test_the_count_is_the_most_that_keeps_the_recall():
     lines, tables = plan(50_000)
     cell, window = collide(0.9)
