@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from granary.operators.graph import connected_components
 from granary.plans.staging import stage, unstage
 
+#: Pairs of places that proximity groups join at once where boxes leave no more.
+DIRECT = 1 << 20
+
 
 def asof_nearest(left: DataFrame, right: DataFrame, by: str, time: str, tolerance_s: int, right_cols: list[str]) -> DataFrame:
     """For each left row the right row of the same entity that is nearest in time, at most tolerance_s seconds away; the earlier of two at one distance.
@@ -37,9 +40,9 @@ def near_pairs(points: DataFrame, id_col: str, x: str, y: str, limit: float) ->
 
 
 def _boxes(spots: DataFrame, side: float, *more: Column) -> DataFrame:
-    """(i, j, x0, x1, y0, y1) and more aggregates: the box round the spots of each cell of a grid."""
+    """(i, j, x0, x1, y0, y1, n) and more aggregates: the box round the n spots of each cell of a grid."""
     cell = lambda c: F.floor(F.col(c) / side).cast("long")
-    return spots.groupBy(cell("x").alias("i"), cell("y").alias("j")).agg(F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("y").alias("y0"), F.max("y").alias("y1"), *more)
+    return spots.groupBy(cell("x").alias("i"), cell("y").alias("j")).agg(F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("y").alias("y0"), F.max("y").alias("y1"), F.count("*").alias("n"), *more)
 
 
 def _within(pairs: DataFrame, limit: float) -> DataFrame:
@@ -54,31 +57,33 @@ def linked_cells(spots: DataFrame, cells: DataFrame, side: float, limit: float,
 
     Boxes round the spots settle most pairs; the cells of the others are cut in
     quarters, and the quarters again, as long as a pair is not linked and boxes
-    are left that neither lie within limit nor beyond. Boxes that are left after
-    `depth` cuts have sides under a thousandth of limit; their spots are joined.
+    are left that neither lie within limit nor beyond. The spots of what is left
+    are joined as soon as they make DIRECT pairs at most, and after `depth` cuts,
+    when the boxes' sides are about a thousandth of limit.
     """
-    box = lambda: F.struct("i", "j", "x0", "x1", "y0", "y1")
+    box = lambda: F.struct("i", "j", "x0", "x1", "y0", "y1", "n")
     steps = [(di, dj) for di in range(3) for dj in range(-2, 3) if di or dj > 0]
     a = cells.select(F.col("rep").alias("src"), box().alias("a"), F.col("i").alias("ci"), F.col("j").alias("cj"))
     b = cells.select(F.col("rep").alias("dst"), box().alias("b"), F.explode(F.array(*(F.struct((F.col("i") - di).alias("i"), (F.col("j") - dj).alias("j")) for di, dj in steps))).alias("c"))
     found, met = [], stage(_within(a.join(b, (F.col("ci") == F.col("c.i")) & (F.col("cj") == F.col("c.j"))), limit).select("src", "dst", "a", "b", "sure"), "near-cells")
     for level in range(1, depth + 1):
         found.append(stage(met.where("sure").select("src", "dst").distinct(), "cell-links"))
-        left = stage(met.where("not sure").join(found[-1], ["src", "dst"], "left_anti").select("src", "dst", *(F.col(f"{c}.{k}").alias(f"{c}{k}") for c in "ab" for k in "ij")), "open-cells")
+        left = stage(met.where("not sure").join(found[-1], ["src", "dst"], "left_anti").select("src", "dst", *(F.col(f"{c}.{k}").alias(f"{c}{k}") for c in "ab" for k in "ijn")), "open-cells")
         unstage(met)
-        if not left.limit(1).count():
+        pairs = left.agg(F.sum(F.col("an").cast("double") * F.col("bn"))).first()[0]
+        if pairs is None:
             return found
         up = side / 2 ** (level - 1)
         asked = left.select(F.col("ai").alias("i"), F.col("aj").alias("j")).union(left.select("bi", "bj")).distinct()
         inner = spots.withColumn("i", F.floor(F.col("x") / up).cast("long")).withColumn("j", F.floor(F.col("y") / up).cast("long")).join(asked, ["i", "j"])
-        if level == depth:
+        if level == depth or pairs <= DIRECT:
             one = lambda c: inner.select(F.col("i").alias(f"{c}i"), F.col("j").alias(f"{c}j"), F.col("x").alias(f"{c}x"), F.col("y").alias(f"{c}y"))
             last = left.join(one("a"), ["ai", "aj"]).join(one("b"), ["bi", "bj"]).where(F.hypot(F.col("ax") - F.col("bx"), F.col("ay") - F.col("by")) <= limit)
             found.append(stage(last.select("src", "dst").distinct(), "cell-links"))
             return found
         parts = stage(_boxes(inner.select("x", "y"), up / 2).select(F.shiftright("i", 1).alias("pi"), F.shiftright("j", 1).alias("pj"), box().alias("box")), "quarters")
         of = lambda c: parts.select(F.col("pi").alias(f"{c}i"), F.col("pj").alias(f"{c}j"), F.col("box").alias(c))
-        met = stage(_within(left.join(of("a"), ["ai", "aj"]).join(of("b"), ["bi", "bj"]), limit).select("src", "dst", "a", "b", "sure"), "near-cells")
+        met = stage(_within(left.drop("an", "bn").join(of("a"), ["ai", "aj"]).join(of("b"), ["bi", "bj"]), limit).select("src", "dst", "a", "b", "sure"), "near-cells")
         unstage(left, parts)
     return found
 

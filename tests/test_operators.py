@@ -158,8 +158,8 @@ def test_proximity_groups_of_dense_and_odd_points(spark, monkeypatch):
     rows += [(800, None, 1.0), (801, float("nan"), 1.0), (802, float("inf"), 1.0), (3, 5000.0, 0.0), (803, 5019.0, 0.0), (804, None, None), (804, 5100.0, 0.0), (805, 5110.0, 0.0)]
     df = spark.createDataFrame(rows, "id long, x double, y double")
     want = {r.node: r.component for r in J.connected_components(J.near_pairs(df.where("x is not null and x = x and x < 1e300"), "id", "x", "y", 20.0)).collect()}
-    for depth in (10, 2):
-        monkeypatch.setattr(J.linked_cells, "__defaults__", (depth,))
+    for direct in (0, 1 << 20):
+        monkeypatch.setattr(J, "DIRECT", direct)
         got = J.proximity_groups(df, "id", "x", "y", 20.0).collect()
         assert sorted((r.id, r.component) for r in got) == sorted((i, want.get(i, i)) for i, _, _ in rows)
     made, close = [], J.connected_components
