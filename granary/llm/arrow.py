@@ -25,15 +25,24 @@ def mapped(df, run, schema):
     return df.mapInArrow(run, schema)
 
 
+def _bytes(column: pa.Array) -> list[int]:
+    if not pa.types.is_list(column.type):
+        return pa.compute.binary_length(column).fill_null(0).to_pylist()
+    size = [0] * len(column)
+    for i, n in zip(pa.compute.list_parent_indices(column).to_pylist(), pa.compute.binary_length(column.flatten()).to_pylist(), strict=True):
+        size[i] += n or 0
+    return size
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
-    """Cut batches so that the texts of column in one slice take about `most` bytes."""
+    """Cut batches so that the texts of column, or its lists of texts, in one slice take about `most` bytes."""
     for batch in batches:
         if batch.num_rows == 0:
             continue
         if batch.num_rows == 1 or batch.column(column).nbytes <= most:
             yield batch
             continue
-        size = pa.compute.binary_length(batch.column(column)).fill_null(0).to_pylist()
+        size = _bytes(batch.column(column))
         start = total = 0
         for i, n in enumerate(size):
             if total + n > most and i > start:

@@ -30,11 +30,11 @@ def shared_dir(spark: SparkSession) -> str:
     return _own[app]
 
 
-def stage(df: DataFrame, name: str = "t") -> DataFrame:
-    """Write df once to the shared folder and return a DataFrame over the written files."""
+def stage(df: DataFrame, name: str = "t", codec: str | None = None) -> DataFrame:
+    """Write df once to the shared folder, with the session's codec or another, and return a DataFrame over the written files."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.parquet(path, compression=codec)
     out = spark.read.schema(df.schema).parquet(path)
     out._staged_path = path
     return out

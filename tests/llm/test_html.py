@@ -1,9 +1,11 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 
 from granary.llm import html
-from granary.llm.html import main_text, parse, repeated_runs
+from granary.llm.arrow import slices
+from granary.llm.html import covered_by, judged_text, main_text, parse, parse_blocks, repeated_runs
 
 PAGE = (
     '<!DOCTYPE html><html lang="en"><head><meta charset="utf-8"><title>T</title><style>p{}</style><script>var t="</p><article>";</script></head><body>'
@@ -85,3 +87,80 @@ def test_text_outside_a_marked_element_is_decided_too(spark):
 
 def test_empty(spark):
     assert main_text(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
+def test_articles_are_in_the_arrays_and_keep_their_repeats(spark):
+    legal = " ".join(f"clause{i}" for i in range(40))
+    rows = [(i, f"http://one.test/{i}", f"<body><article><p>Body of number {i}</p><p>{legal}</p></article>") for i in range(2)]
+    rows += [(2, "http://one.test/2", f"<body><div>Body of number 2</div><div>{legal}</div>"), (3, "http://two.test/", f"<body><div>{legal}</div>")]
+    got = {r.page_id: (r.text, r.n_repeated) for r in judged_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {0: (f"Body of number 0 {legal}", 40), 1: (f"Body of number 1 {legal}", 40), 2: ("Body of number 2", 0), 3: (legal, 0)}
+
+
+def test_pieces_of_one_bucket_are_compared_by_their_words():
+    def piece(host, page, words, start=0, whole=False):
+        return {"key": 7, "whole": whole, "host": host, "content": " ".join(words), "pages": [page], "at": [{"page": page, "start": start, "first": start, "beyond": start + len(words)}]}
+
+    run, other = [f"w{i}" for i in range(32)], [f"v{i}" for i in range(32)]
+    pages = [b"a", b"b", b"c"]
+    assert covered_by([piece("h", p, w) for p, w in zip(pages, (run, other, run), strict=True)]) == []
+    assert covered_by([piece("h", p, run) for p in (b"a", b"b", b"a")]) == []
+    assert covered_by([piece(h, p, run) for h, p in zip("hhg", pages, strict=True)]) == []
+    shared = [piece("h", b"a", ["x", *run], 5), piece("h", b"b", run), piece("h", b"c", [*run, "y"], 2)]
+    assert covered_by(shared) == [("h", b"a", [6, 38]), ("h", b"b", [0, 32]), ("h", b"c", [2, 34])]
+    short = ["\t", "Share", "\n"]
+    assert covered_by([piece("h", p, short, 4, True) for p in pages]) == [("h", p, [4, 7]) for p in pages]
+    assert covered_by([piece("h", p, short, 4, True) for p in pages[:2]]) == []
+
+
+def _by_force(rows):
+    parsed = {i: (url.split("/")[2], parse_blocks(page)[0]) for i, url, page in rows}
+    runs, whole = {}, {}
+    stream = lambda blocks: [t for _, b in blocks for t in ("\t", *b.split(), "\n")]
+    for n, (host, blocks) in enumerate({(h, tuple(b)) for h, b in parsed.values()}):
+        words = stream(blocks)
+        for i in range(len(words) - html.RUN + 1):
+            runs.setdefault((host, *words[i : i + html.RUN]), set()).add(n)
+        for z, b in blocks:
+            if z:
+                whole.setdefault((host, b), set()).add(n)
+    out = {}
+    for i, (host, blocks) in parsed.items():
+        words, covered = stream(blocks), set()
+        for j in range(len(words) - html.RUN + 1):
+            if len(runs[(host, *words[j : j + html.RUN])]) >= html.SEVERAL:
+                covered |= set(range(j, j + html.RUN))
+        texts, repeated, at = [], 0, 1
+        for z, b in blocks:
+            split = b.split()
+            if z == 0:
+                repeated += len(covered & set(range(at, at + len(split))))
+            elif z == 1:
+                b = "" if len(whole[host, b]) >= html.SEVERAL else " ".join(w for j, w in enumerate(split) if at + j not in covered)
+            if z < 2 and b:
+                texts.append(b)
+            at += len(split) + 2
+        out[i] = (" ".join(texts), repeated)
+    return out
+
+
+def test_hosts_match_brute_force_in_whole_and_cut_up_buckets(spark, monkeypatch):
+    rnd = random.Random(5)
+    bank = [" ".join(rnd.choice("abcdefgh") + rnd.choice("xyz") for _ in range(rnd.choice((4, 20, 45, 90)))) for _ in range(14)]
+    tags = [("<p>", "</p>"), ("<article>", "</article>"), ("<nav>", "</nav>"), ("<i>", "</i>")]
+    rows = []
+    for i in range(120):
+        cut = [" ".join(w[rnd.randrange(3) :]) for w in (rnd.choice(bank).split() for _ in range(4))]
+        rows.append((i, f"http://{rnd.choice(('one', 'two'))}.test/{i}", "<body>" + "".join(f"{a}{t}{b}" for t in cut for a, b in [rnd.choice(tags)]) + f"<p>own{i}</p>"))
+    rows += [(200, "http://one.test/long", "<body><p>" + "la " * 3000), (201, "http://one.test/again", "<body><p>" + "la " * 2000), (202, "http://one.test/more", "<body><div>" + "la " * 50 + "end")]
+    want = _by_force(rows)
+    assert sum(n for _, n in want.values()) > 0 and want[202][0] == "end"
+    table = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    for pages in (20_000, 2):
+        monkeypatch.setattr(html, "PAGES", pages)
+        assert {r.page_id: (r.text, r.n_repeated) for r in judged_text(table).collect()} == want
+
+
+def test_lists_of_texts_are_sliced_by_their_bytes():
+    batch = pa.RecordBatch.from_arrays([pa.array([["a" * 30, "b"], [], None, ["c" * 30], ["d"]])], ["t"])
+    assert [b.num_rows for b in slices([batch], "t", 32)] == [3, 2]
